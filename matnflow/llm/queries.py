@@ -15,6 +15,12 @@ def _texts(spark: SparkSession, d: str, *names: str) -> DataFrame:
     return out
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from .neardup import similar_pairs
+
+    return similar_pairs(_texts(spark, d, "enc_hadith", "dorar_hadith"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .canonical import alike_pairs
 
@@ -49,6 +55,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p6_ids": p6_ids,
