@@ -33,6 +33,25 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonicalize(_texts(spark, d, "ayat", "enc_hadith", "dorar_hadith")).select("rec_id", "form")
 
 
+def _free_values(spark: SparkSession, d: str) -> DataFrame:
+    grades = table(spark, d, "enc_hadith").selectExpr("rec_id", "grade AS value")
+    return grades.unionByName(table(spark, d, "dorar_hadith").selectExpr("rec_id", "ruling AS value"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .vocabulary import map_values
+
+    return map_values(_free_values(spark, d), table(spark, d, "gradelist"))
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    from .vocabulary import map_values
+
+    values = _free_values(spark, d)
+    lost = map_values(values, table(spark, d, "gradelist")).where("grade_id = -1").select("rec_id")
+    return values.join(lost, "rec_id").groupBy("value").count().withColumnRenamed("count", "n")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from .encode import encode_corpus
 
@@ -58,6 +77,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p4_found": p4_found,
+    "p4_unmatched": p4_unmatched,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
