@@ -21,6 +21,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(_texts(spark, d, "enc_hadith", "dorar_hadith"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .neighbours import similar_pairs
+
+    return similar_pairs(spread(table(spark, d, "vectors").select("vec_id", "scales", "data")))
+
+
+def p2_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The search form: every vector whose id is divisible by 50 against all."""
+    from .neighbours import nearest_of
+
+    vectors = table(spark, d, "vectors").select("vec_id", "scales", "data")
+    return nearest_of(spread(vectors), vectors.where("vec_id % 50 = 0")).selectExpr(
+        "vec_id", "rank", "neighbour", "round(cosine, 6) AS cosine"
+    )
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .canonical import alike_pairs
 
@@ -52,6 +68,18 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return values.join(lost, "rec_id").groupBy("value").count().withColumnRenamed("count", "n")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .overlap import split_overlaps
+
+    return split_overlaps(table(spark, d, "evaluate").select("row_id", "split", "source", "id", "text"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    from .overlap import overlap_report
+
+    return overlap_report(table(spark, d, "evaluate").select("row_id", "split", "source", "id", "text"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from .encode import encode_corpus
 
@@ -75,10 +103,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_knn": p2_knn,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
