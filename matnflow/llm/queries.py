@@ -101,6 +101,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report()
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from .spam import spam_documents
+
+    return spam_documents(spread(table(spark, d, "documents").select("doc_id", "text", "lang"))).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -114,16 +120,63 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
 }
 
 
+def _letters_sql(form: str) -> str:
+    """SURVEY N1 of a text in the problem-3 form."""
+    t = f"replace(replace({form}, 'ﷺ', ' صلى الله عليه وسلم '), 'وٰ', 'ا')"
+    t = rf"regexp_replace(translate({t}, 'ۧ', 'ي'), '[\x{{610}}-\x{{61a}}\x{{64b}}-\x{{65f}}\x{{670}}\x{{6d6}}-\x{{6ed}}\x{{8d3}}-\x{{8ff}}\x{{640}}]', '', 'g')"
+    t = f"translate({t}, 'آأإٱٲٳٵىةؤئء', 'ااااااايهوي')"
+    return rf"trim(regexp_replace({t}, '[^\x{{622}}-\x{{64a}}]+', ' ', 'g'))"
+
+
+def _any_script_sql(form: str) -> str:
+    """SURVEY N8 of a text in the problem-3 form."""
+    t = rf"regexp_replace(translate({form}, 'ٱ', 'ا'), '[\x{{610}}-\x{{61a}}\x{{64b}}-\x{{65f}}\x{{670}}\x{{6d6}}-\x{{6ed}}\x{{640}}]', '', 'g')"
+    t = f"lower(translate({t}, 'إأآىةؤئ', 'ااايهوي'))"
+    return rf"trim(regexp_replace({t}, '[^\pL\p{{Nl}}\p{{No}}]+', ' ', 'g'))"
+
+
 def sql() -> dict[str, str]:
+    """DuckDB SQL by brute force; problems 4, 6, 7 and 8 are beyond SQL and tested otherwise."""
     from .canonical import form_query
 
     records = " UNION ALL ".join(f"SELECT rec_id, text FROM {t}" for t in ("ayat", "enc_hadith", "dorar_hadith"))
     formed = form_query(f"({records})", "text")
+    reports = form_query("(SELECT rec_id, text FROM enc_hadith UNION ALL SELECT rec_id, text FROM dorar_hadith)", "text")
+    usable = (
+        "SELECT vec_id, list_transform(data, lambda x: x::DOUBLE) AS v, sign(scales) AS s FROM vectors WHERE scales IS NOT NULL "
+        "AND scales <> 0 AND len(data) = 64 AND len(list_filter(data, lambda x: x IS NULL)) = 0 AND len(list_filter(data, lambda x: x <> 0)) > 0"
+    )
+    cosines = (
+        f"u AS MATERIALIZED ({usable}), c AS (SELECT a.vec_id AS a, b.vec_id AS b, a.s * b.s * list_dot_product(a.v, b.v) "
+        "/ sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id)"
+    )
+    ranked = "r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM c)"
+    key = (
+        r"regexp_replace(regexp_replace(translate(id, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), "
+        r"'[\s\x{a0}\x{2000}-\x{200f}\x{202f}\x{205f}\x{3000}]', '', 'g'), '(^|[^0-9])0+([0-9])', '\1\2', 'g')"
+    )
+    rows = form_query("(SELECT row_id, split, source, id, text FROM evaluate WHERE split IN ('train', 'test', 'valid'))", "text")
+    overlaps = (
+        f"e AS MATERIALIZED (SELECT row_id, split, source, nullif({key}, '') AS k, nullif({_any_script_sql('f')}, '') AS t FROM ({rows})), "
+        "o AS (SELECT b.row_id AS held, a.row_id AS train, b.split, b.source FROM e a JOIN e b ON a.split = 'train' AND b.split <> 'train' AND "
+        "((a.source = b.source AND a.k = b.k) OR (abs(length(a.t) - length(b.t)) <= floor(0.15 * greatest(length(a.t), length(b.t)) + 1e-9) "
+        "AND levenshtein(a.t, b.t) <= floor(0.15 * greatest(length(a.t), length(b.t)) + 1e-9))))"
+    )
     return {
+        "p1_found": f"WITH s AS MATERIALIZED (SELECT rec_id, list_distinct(string_split(n, ' ')) AS w FROM (SELECT rec_id, {_letters_sql('f')} AS n "
+        f"FROM ({reports}) WHERE text IS NOT NULL) WHERE n <> ''), x AS (SELECT rec_id, len(w) AS n, unnest(w) AS word FROM s) "
+        "SELECT rec_a, rec_b FROM (SELECT a.rec_id AS rec_a, b.rec_id AS rec_b, count(*) AS common, any_value(a.n + b.n) AS total "
+        "FROM x a JOIN x b ON a.word = b.word AND a.rec_id < b.rec_id GROUP BY ALL) WHERE common >= 0.7 * (total - common) - 1e-9",
+        "p2_found": f"WITH {cosines}, {ranked} SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 10 AND c >= 0.9",
+        "p2_knn": f"WITH {cosines}, {ranked} SELECT a AS vec_id, k::INTEGER AS rank, b AS neighbour, round(c, 6) AS cosine FROM r WHERE k <= 10 AND a % 50 = 0",
         "p3_forms": f"SELECT rec_id, f AS form FROM ({formed})",
         "p3_found": f"WITH s AS MATERIALIZED ({formed}) SELECT a.rec_id AS rec_a, b.rec_id AS rec_b "
         "FROM s a JOIN s b ON a.f = b.f AND a.text <> b.text AND a.rec_id < b.rec_id",
+        "p5_found": f"WITH {overlaps} SELECT DISTINCT least(held, train) AS row_a, greatest(held, train) AS row_b FROM o",
+        "p5_report": f"WITH {overlaps} SELECT split, source, count(*) AS pairs, count(DISTINCT held) AS rows_hit, "
+        "count(DISTINCT train) AS train_rows FROM o GROUP BY ALL",
     }
