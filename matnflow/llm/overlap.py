@@ -62,8 +62,36 @@ def shingles(texts: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("g").alias("g"), "id", "n", "at")
 
 
+def with_letter_counts(texts: DataFrame) -> DataFrame:
+    """(h1, h2, id, n, t, in_train, in_held) with k0..k3: how often each of 32 groups of characters occurs, a byte a group (255 at most)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.zeros((b.num_rows, 32), dtype=np.uint8)
+            for row, t in zip(counts, b.column("t").to_pylist()):
+                codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") & 31
+                row[:] = np.minimum(np.bincount(codes, minlength=32), 255)
+            longs = counts.view("<i8")
+            cols = [b.column(c) for c in ("h1", "h2", "id", "n", "t", "in_train", "in_held")] + [pa.array(longs[:, i]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "id", "n", "t", "in_train", "in_held", "k0", "k1", "k2", "k3"])
+
+    schema = "h1 long, h2 long, id long, n int, t string, in_train boolean, in_held boolean, k0 long, k1 long, k2 long, k3 long"
+    return texts.select("h1", "h2", "id", "n", "t", "in_train", "in_held").mapInArrow(run, schema)
+
+
+def fewest_edits(a: str, b: str) -> Column:
+    """A lower bound of the edit distance: characters that one text has more often, by the packed counts of both."""
+    more, less = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i in range(4):
+        for byte in range(8):
+            x, y = (F.shiftrightunsigned(f"{side}{i}", 8 * byte).bitwiseAND(255) for side in (a, b))
+            more = more + F.greatest(x - y, F.lit(0))
+            less = less + F.greatest(y - x, F.lit(0))
+    return F.greatest(more, less)
+
+
 def near_texts(train: DataFrame, held: DataFrame, share: float) -> DataFrame:
-    """(a, b): ids of texts (id, n, t) of the two sides within ``share`` of the longer one's characters, by edits."""
+    """(a, b): ids of texts (id, n, t, k0..k3) of the two sides within ``share`` of the longer one's characters, by edits."""
     probes = shingles(train)
     frequency = probes.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     chunks = shingles(held).where(F.col("at") % Q == 0)
@@ -80,12 +108,14 @@ def near_texts(train: DataFrame, held: DataFrame, share: float) -> DataFrame:
         (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.abs(F.col("at_a") - F.col("at_b")) <= edits)
     )
     candidates = met.select("a", "b").distinct()
-    left = train.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    right = held.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    both = candidates.join(left, "a").join(right, "b")
-    most = F.floor(F.greatest(F.length("ta"), F.length("tb")) * share + 1e-9).cast("int")
-    distance = F.levenshtein("ta", "tb")
-    return both.where(distance <= most).select("a", "b")
+    counts = [f"k{i}" for i in range(4)]
+    left = train.select("id", "n", *counts).toDF("a", "na", *[f"a{c}" for c in counts])
+    right = held.select("id", "n", *counts).toDF("b", "nb", *[f"b{c}" for c in counts])
+    # the counts of letters rule most of them out; only the rest are joined with their texts
+    counted = candidates.join(left, "a").join(right, "b").withColumn("most", edits.cast("int"))
+    likely = counted.where(fewest_edits("ak", "bk") <= F.col("most")).select("a", "b", "most")
+    texts = likely.join(train.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    return texts.where(F.expr("levenshtein(ta, tb, most) >= 0")).select("a", "b")
 
 
 def split_overlaps(records: DataFrame, share: float = 0.15) -> DataFrame:
@@ -115,7 +145,7 @@ def split_overlaps(records: DataFrame, share: float = 0.15) -> DataFrame:
         F.min("row").alias("id"), F.first("t").alias("t"),
         F.max(F.expr("side = 0")).alias("in_train"), F.max(F.expr("side = 1")).alias("in_held"),
     )
-    classes = cut(classed.withColumn("n", F.length("t")))
+    classes = cut(with_letter_counts(classed.withColumn("n", F.length("t"))))
     train, held = classes.where("in_train"), classes.where("in_held")
     links = near_texts(train, held, share)
     links = links.unionByName(classes.where("in_train AND in_held").select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct()
