@@ -1 +1 @@
-
+"""Checking a feed of posts as it grows."""
