@@ -21,11 +21,12 @@ def grams(text: Column | str, n: int = GRAM) -> Column:
 def placed_grams(text: Column | str, n: int = GRAM) -> Column:
     """The n-grams with the place of their first occurrence, as structs (gram, at)."""
     c = F.col(text) if isinstance(text, str) else text
-    parts = []
-    for k in range(n):
-        run = F.regexp_extract_all(F.substring(c, k + 1, 2**31 - 1), F.lit(f"(?s).{{{n}}}"), F.lit(0))
-        parts.append(F.transform(run, lambda g, i, k=k: F.struct(g.alias("gram"), (i * n + k).alias("at"))))
-    return F.concat(*parts)
+
+    def run(k: int) -> Column:
+        found = F.regexp_extract_all(F.substring(c, k + 1, 2**31 - 1), F.lit(f"(?s).{{{n}}}"), F.lit(0))
+        return F.transform(found, lambda g, i: F.struct(g.alias("gram"), (i * n + k).alias("at")))
+
+    return F.concat(*map(run, range(n)))
 
 
 def inverted_index(corpus: DataFrame, key: str = "pos", text: str = "skeleton") -> DataFrame:

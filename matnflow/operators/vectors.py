@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
+
 QUERY_BLOCK = 4_096  # queries held by every task at once
 
 
@@ -21,8 +23,7 @@ def norm(vector: Column | str) -> Column:
 def normalise(vector: Column | str) -> Column:
     """The vector divided by its norm; a zero vector stays."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -32,10 +33,12 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def quantise(vector: Column | str) -> Column:
     """struct(scale, q): eight-bit numbers of the normalised vector, halves rounded up."""
-    unit = normalise(vector)
-    top = F.array_max(F.transform(unit, F.abs)) / 127
-    scale = F.when(top == 0, 1.0).otherwise(top)
-    return F.struct(scale.cast("float").alias("scale"), F.transform(unit, lambda x: F.floor(x / scale + 0.5).cast("tinyint")).alias("q"))
+
+    def by(unit: Column, top: Column) -> Column:
+        scale = F.when(top == 0, 1.0).otherwise(top)
+        return F.struct(scale.cast("float").alias("scale"), F.transform(unit, lambda x: F.floor(x / scale + 0.5).cast("tinyint")).alias("q"))
+
+    return let(normalise(vector), lambda unit: let(F.array_max(F.transform(unit, F.abs)) / 127, lambda top: by(unit, top)))
 
 
 def dequantise(scale: Column | str, q: Column | str) -> Column:
