@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import partial_ratio_udf
 from ..functions.normalize import fold_any_script
+from ..session import keep_apart
 from .candidates import inverted_index, shared_grams
 
 # The slices of the report.
@@ -56,7 +57,8 @@ def source_found(rows: DataFrame, corpus: DataFrame, row: str = "row_id", truth:
     long = counted.join(others, "pos").join(base.select(F.col("row").alias("query"), "got", "truth"), "query")
     long = long.where((F.length("skeleton") >= least * F.length("got")) & (F.col("skeleton") != F.col("truth")))
     order = Window.partitionBy("query").orderBy(F.desc("n"), "first", "pos")
-    near = long.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rivals).withColumn("ratio", partial_ratio_udf("got", "skeleton"))
+    near = long.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rivals)
+    near = keep_apart(near, "query", "pos").withColumn("ratio", partial_ratio_udf("got", "skeleton"))
     best = near.groupBy(F.col("query").alias("row")).agg(F.max("ratio").alias("rival_ratio"))
     own = base.withColumn("true_ratio", partial_ratio_udf("got", "truth"))
     out = own.join(best, "row", "left")

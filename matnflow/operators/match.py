@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.kernels import best_end, containment, containment_udf, locate, partial_alignment, partial_ratio, partial_ratio_udf
 from ..functions.normalize import skeleton
 from ..profiles import EXTENSION, MIN_LETTERS, REPORT_CANDIDATES, REPORT_LEAST, SERVICE, VERSE_CANDIDATES, VERSE_LEAST, Profile
+from ..session import keep_apart
 from .candidates import inverted_index, neighbours, shared_grams, top_candidates, with_extras
 
 LEAST_VERSE = 10  # letters from which a whole verse is looked for inside a quote
@@ -107,6 +108,7 @@ def verse_spans(queries: DataFrame, corpus: DataFrame, extras: DataFrame | None
     """
     asked = queries.where(F.length("skeleton") >= MIN_LETTERS).select("query", F.col("skeleton"))
     found = verse_candidates(asked, corpus, extras).join(asked.withColumnRenamed("skeleton", "q"), "query")
+    found = keep_apart(found, "pos")
     windows = neighbours(corpus, same="sura" if profile.within_sura else None)
     aligner = align_service_udf if profile.within_sura else align_udf
     inside = found.join(windows, "pos").withColumn("span", aligner("q", "window")).where("span IS NOT NULL")
@@ -150,7 +152,7 @@ def report_candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """J1-J4 for reports: (query, pos, rank) with both skeletons as q and s."""
     asked = queries.where(F.length("skeleton") >= MIN_LETTERS).select("query", "skeleton")
     found = top_candidates(shared_grams(asked, inverted_index(corpus)), REPORT_LEAST, REPORT_CANDIDATES)
-    found = found.join(asked.withColumnRenamed("skeleton", "q"), "query")
+    found = keep_apart(found.join(asked.withColumnRenamed("skeleton", "q"), "query"), "pos")
     return found.join(corpus.select("pos", F.col("skeleton").alias("s")), "pos").select("query", "pos", "rank", "q", "s")
 
 

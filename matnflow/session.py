@@ -71,6 +71,16 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def keep_apart(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into a stated number of partitions, which adaptive execution doesn't merge.
+
+    For the stage before an alignment kernel: its rows are small but cost milliseconds
+    each. A join on the same keys that follows reuses this shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Round-robin ``df`` over the cores when its scan yields fewer partitions than cores.
 
