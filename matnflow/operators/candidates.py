@@ -68,14 +68,16 @@ def positions_of(ids: DataFrame, corpus: DataFrame, id_: str = "id", pos: str =
     return ids.join(last, id_, "left").select(*ids.columns, F.coalesce("found", F.lit(-1)).alias("position"))
 
 
-def neighbours(corpus: DataFrame, before: int = 2, after: int = 3, same: str | None = None, pos: str = "pos") -> DataFrame:
+def neighbours(
+    corpus: DataFrame, before: int = 2, after: int = 3, same: str | None = None, pos: str = "pos", carry: str | None = None
+) -> DataFrame:
     """Each position with the records from ``before`` places before to ``after`` places after it.
 
-    (pos, window): structs (pos, skeleton, and ``same`` if given) in order. With ``same``
+    (pos, window): structs (pos, skeleton, and ``carry`` if given) in order. With ``same``
     (the service profile) only neighbours with an equal value stay. An equi-join on
     shifted positions: no global window, so it distributes.
     """
-    columns = [pos, "skeleton", *([same] if same else [])]
+    columns = list(dict.fromkeys([pos, "skeleton", *filter(None, [same, carry])]))
     base = corpus.select(*columns)
     shifts = F.explode(F.sequence(F.lit(-after), F.lit(before)))
     spread = base.select(*columns, shifts.alias("shift")).withColumn("center", F.col(pos) + F.col("shift"))
@@ -83,7 +85,7 @@ def neighbours(corpus: DataFrame, before: int = 2, after: int = 3, same: str | N
     joined = spread.join(centers, "center")
     if same:
         joined = joined.where(F.col(same).eqNullSafe(F.col("wanted")))
-    window = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col("skeleton")))).alias("window")
+    window = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), "skeleton", *filter(None, [carry])))).alias("window")
     return joined.groupBy("center").agg(window).withColumnRenamed("center", pos)
 
 

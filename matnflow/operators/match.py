@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import best_end, containment, containment_udf, locate, partial_alignment, partial_ratio, partial_ratio_udf
+from ..functions.kernels import containment, containment_udf, locate, once, partial_alignment, partial_ratio, partial_ratio_udf
 from ..functions.normalize import skeleton
 from ..profiles import EXTENSION, MIN_LETTERS, REPORT_CANDIDATES, REPORT_LEAST, SERVICE, VERSE_CANDIDATES, VERSE_LEAST, Profile
-from ..session import keep_apart
+from ..session import cut, keep_apart
 from .candidates import inverted_index, neighbours, shared_grams, top_candidates, with_extras
 
 LEAST_VERSE = 10  # letters from which a whole verse is looked for inside a quote
+GROWING = 0.9  # similarity from which a whole verse is grown
 NEAR = 48  # verses on each side that a match is grown through before the whole sura is fetched
 SPAN = T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 GROWN = T.StructType([*SPAN.fields, T.StructField("edge", T.BooleanType())])
@@ -54,35 +55,80 @@ def align_in_window_service(q: str, window: list[dict]) -> dict | None:
     return {"similarity": partial_ratio(q, part), "first": window[span[0]]["pos"], "last": window[span[1]]["pos"]}
 
 
-def grow(q: str, center: int, similarity: float, around: list[dict]) -> dict:
-    """Q2: a whole-verse match grown to neighbours that the quote holds as faithfully; ``edge`` if ``around`` ran out."""
-    pieces = {w["pos"]: w["skeleton"] for w in around}
+def grow(q: str, center: int, similarity: float, pieces: dict[int, str], low: float, high: float) -> dict:
+    """Q2: a whole-verse match grown to neighbours that the quote holds as faithfully.
+
+    ``pieces``: skeletons of the sura's verses from position ``low`` to ``high``; ``edge``
+    if the growth asked for one beyond, so that it has to be repeated with more of them.
+    """
     first = last = center
-    edge = False
     while True:
         for a, b in ((first, last + 1), (first - 1, last)):
-            if (b if b > last else a) not in pieces:
-                edge = True
+            new = b if b > last else a
+            if not low <= new <= high:
+                return {"similarity": similarity, "first": first, "last": last, "edge": True}
+            if new not in pieces:
                 continue
             s = containment("".join(pieces[p] for p in range(a, b + 1)), q)
             if s >= similarity - 0.02:
                 first, last, similarity = a, b, s
                 break
         else:
-            return {"similarity": similarity, "first": first, "last": last, "edge": edge}
+            return {"similarity": similarity, "first": first, "last": last, "edge": False}
+
+
+def spans_at(q: str, center: int, window: list[dict]) -> dict:
+    """Both spans of a candidate: the quote in its window, and the verse in the quote (if it is long enough) as far as the window shows."""
+    own = next(w for w in window if w["pos"] == center)
+    whole = None
+    if len(own["skeleton"]) >= LEAST_VERSE:
+        similarity = containment(own["skeleton"], q)
+        whole = {"similarity": similarity, "first": center, "last": center, "edge": False}
+        if similarity >= GROWING:
+            pieces = {w["pos"]: w["skeleton"] for w in window if w["sura"] == own["sura"]}
+            whole = grow(q, center, similarity, pieces, center - 2, center + 3)
+    return {"inside": align_in_window(q, window), "whole": whole}
+
+
+def grow_within(q: str, center: int, reach: int | None, around: list[dict]) -> dict:
+    """``grow`` from the start, with the verses up to ``reach`` places away, or the whole sura."""
+    pieces = {w["pos"]: w["skeleton"] for w in around}
+    low, high = (float("-inf"), float("inf")) if reach is None else (center - reach, center + reach)
+    return grow(q, center, containment(pieces[center], q), pieces, low, high)
+
+
+_ARROW = {T.DoubleType: pa.float64(), T.IntegerType: pa.int32(), T.BooleanType: pa.bool_()}
 
 
-def _rows(kernel, kind):
-    fields = {f.name: {T.DoubleType: pa.float64(), T.IntegerType: pa.int32(), T.BooleanType: pa.bool_()}[type(f.dataType)] for f in kind.fields}
+def _arrow_struct(kind: T.StructType) -> pa.DataType:
+    return pa.struct([(f.name, _arrow_struct(f.dataType) if isinstance(f.dataType, T.StructType) else _ARROW[type(f.dataType)]) for f in kind.fields])
 
-    @F.arrow_udf(kind)
-    def run(*cols: pa.Array) -> pa.Array:
-        return pa.array([kernel(*r) for r in zip(*(c.to_pylist() for c in cols))], pa.struct(list(fields.items())))
 
-    return run
+def _rows3(kernel, kind):
+    def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array([kernel(*r) for r in zip(a.to_pylist(), b.to_pylist(), c.to_pylist())], _arrow_struct(kind))
 
+    return once(F.arrow_udf(run, kind))
 
-align_udf, align_service_udf, grow_udf = _rows(align_in_window, SPAN), _rows(align_in_window_service, SPAN), _rows(grow, GROWN)
+
+def _rows4(kernel, kind):
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        return pa.array([kernel(*r) for r in zip(a.to_pylist(), b.to_pylist(), c.to_pylist(), d.to_pylist())], _arrow_struct(kind))
+
+    return once(F.arrow_udf(run, kind))
+
+
+def _rows2(kernel, kind):
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([kernel(*r) for r in zip(a.to_pylist(), b.to_pylist())], _arrow_struct(kind))
+
+    return once(F.arrow_udf(run, kind))
+
+
+BOTH = T.StructType([T.StructField("inside", SPAN), T.StructField("whole", GROWN)])
+align_service_udf = _rows2(align_in_window_service, SPAN)
+spans_udf = _rows3(spans_at, BOTH)
+grow_udf = _rows4(grow_within, GROWN)
 
 
 def verse_candidates(queries: DataFrame, corpus: DataFrame, extras: DataFrame | None = None) -> DataFrame:
@@ -109,24 +155,23 @@ def verse_spans(queries: DataFrame, corpus: DataFrame, extras: DataFrame | None
     asked = queries.where(F.length("skeleton") >= MIN_LETTERS).select("query", F.col("skeleton"))
     found = verse_candidates(asked, corpus, extras).join(asked.withColumnRenamed("skeleton", "q"), "query")
     found = keep_apart(found, "pos")
-    windows = neighbours(corpus, same="sura" if profile.within_sura else None)
-    aligner = align_service_udf if profile.within_sura else align_udf
-    inside = found.join(windows, "pos").withColumn("span", aligner("q", "window")).where("span IS NOT NULL")
-    inside = inside.select("query", "pos", "rank", F.lit(0).alias("kind"), "span.similarity", "span.first", "span.last")
     if profile.within_sura:
-        return inside
-    verses = corpus.select("pos", F.col("skeleton").alias("v")).where(F.length("v") >= LEAST_VERSE)
-    whole = found.join(verses, "pos").withColumn("similarity", containment_udf("v", "q"))
-    plain = whole.where("similarity < 0.9").select("query", "pos", "rank", F.lit(1).alias("kind"), "similarity", F.col("pos").cast("int").alias("first"), F.col("pos").cast("int").alias("last"))
-    strong = whole.where("similarity >= 0.9").select("query", "q", "pos", "rank", "similarity")
-    grown = strong.join(_around(corpus, strong, NEAR), "pos").withColumn("g", grow_udf("q", "pos", "similarity", "around"))
-    # growth that reached the end of its surroundings is repeated with the whole sura
-    beyond = F.col("g.edge") & ((F.col("g.last") >= F.col("pos") + NEAR) | (F.col("g.first") <= F.col("pos") - NEAR))
-    suras = corpus.groupBy("sura").agg(F.collect_list(F.struct("pos", "skeleton")).alias("around"))
-    again = grown.where(beyond).select("query", "q", "pos", "rank", "similarity").join(corpus.select("pos", "sura"), "pos").join(suras, "sura")
-    again = again.withColumn("g", grow_udf("q", "pos", "similarity", "around"))
+        inside = found.join(neighbours(corpus, same="sura"), "pos").withColumn("span", align_service_udf("q", "window")).where("span IS NOT NULL")
+        return inside.select("query", "pos", "rank", F.lit(0).alias("kind"), "span.similarity", "span.first", "span.last")
+    scored = found.join(neighbours(corpus, carry="sura"), "pos").withColumn("s", spans_udf("q", "pos", "window"))
+    scored = cut(scored.select("query", "pos", "rank", "s"))  # read three times, aligned once
+    inside = scored.where("s.inside IS NOT NULL").select("query", "pos", "rank", F.lit(0).alias("kind"), "s.inside.*")
+    whole = scored.where("s.whole IS NOT NULL AND NOT s.whole.edge").select("query", "pos", "rank", F.lit(1).alias("kind"), "s.whole.similarity", "s.whole.first", "s.whole.last")
+    # growth beyond the window is repeated with more verses, and beyond those with the whole sura
     columns = ["query", "pos", "rank", F.lit(1).alias("kind"), "g.similarity", "g.first", "g.last"]
-    return inside.unionByName(plain).unionByName(grown.where(~beyond).select(*columns)).unionByName(again.select(*columns))
+    wide = scored.where("s.whole.edge").select("query", "pos", "rank").join(asked.withColumnRenamed("skeleton", "q"), "query")
+    grown = wide.join(_around(corpus, wide, NEAR), "pos").withColumn("g", grow_udf("q", "pos", F.lit(NEAR), "around"))
+    grown = cut(grown.select("query", "pos", "rank", "g"))
+    again = grown.where("g.edge").select("query", "pos", "rank").join(asked.withColumnRenamed("skeleton", "q"), "query")
+    suras = corpus.select("pos", "skeleton", "sura").join(again.select("pos").distinct().join(corpus.select("pos", "sura"), "pos").select("sura").distinct(), "sura", "left_semi")
+    suras = suras.groupBy("sura").agg(F.collect_list(F.struct("pos", "skeleton")).alias("around"))
+    again = again.join(corpus.select("pos", "sura"), "pos").join(suras, "sura").withColumn("g", grow_udf("q", "pos", F.lit(None).cast("int"), "around"))
+    return inside.unionByName(whole).unionByName(grown.where("NOT g.edge").select(*columns)).unionByName(again.select(*columns))
 
 
 def search_verses(queries: DataFrame, corpus: DataFrame, extras: DataFrame | None = None, profile: Profile = EXTENSION) -> DataFrame:
@@ -193,6 +238,3 @@ def report_gate(queries: DataFrame, hits: DataFrame, near: DataFrame, corpus: Da
     order = Window.partitionBy("query").orderBy(F.desc("score"), "pos")
     lifted = scored.withColumn("k", F.row_number().over(order)).where("k = 1").select("query", "pos", F.lit(profile.report_close).alias("similarity"))
     return hits.join(lifted.select("query"), "query", "left_anti").unionByName(lifted)
-
-
-__all__ = ["align_in_window", "best_end", "covered", "grow", "report_gate", "score_at", "search_reports", "search_verses", "verse_gate", "verse_spans", "with_skeleton", "SERVICE", "EXTENSION"]

@@ -257,7 +257,7 @@ _ENDS = r"regexp_replace({0}, '^[\s\x{{a0}}\x{{85}}\x{{1680}}\x{{2000}}-\x{{200a
     f"len(list_filter({fr.VERSE_MARKERS!r}, lambda m: contains({s_fold('post')}, m))) > 0 OR contains(fragment, '﴿') AS verse_like FROM kept WHERE k = 1"
 )
 def frag_fragments(spark, d):
-    return fr.fragments(table(spark, d, "dorar_hadith").select("rec_id", "text"), "rec_id").drop("frag_no")
+    return fr.fragments(spread(table(spark, d, "dorar_hadith").select("rec_id", "text")), "rec_id").drop("frag_no")
 
 
 # ---------------------------------------------------------------- retrieval
