@@ -32,7 +32,7 @@ def score_report(rows: DataFrame, by: str = "lang") -> DataFrame:
     sums = []
     for name, test in SLICES.items():
         inside = F.coalesce(F.expr(test), F.lit(False))
-        rate = F.when(inside, F.least(F.lit(1.0), F.col("cer")))
+        rate = F.when(inside & F.col("cer").isNotNull(), F.least(F.lit(1.0), F.col("cer")))
         sums += [
             F.sum(inside.cast("long")).alias(f"{name}_n"),
             (100 * (1 - F.avg(rate))).alias(f"{name}_accuracy"),

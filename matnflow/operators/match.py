@@ -26,10 +26,10 @@ def with_skeleton(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def covered(start: int, end: int, lengths: list[int]) -> tuple[int, int] | None:
-    """First and last of the adjoining pieces that a span covers by five letters or half of the piece."""
+    """First and last of the adjoining pieces that a span covers by five letters or half of the piece; empty pieces don't count."""
     hit, at = [], 0
     for i, n in enumerate(lengths):
-        if min(end, at + n) - max(start, at) >= min(5, (n + 1) // 2):
+        if n and min(end, at + n) - max(start, at) >= min(5, (n + 1) // 2):
             hit.append(i)
         at += n
     return (hit[0], hit[-1]) if hit else None
@@ -67,7 +67,7 @@ def grow(q: str, center: int, similarity: float, pieces: dict[int, str], low: fl
             new = b if b > last else a
             if not low <= new <= high:
                 return {"similarity": similarity, "first": first, "last": last, "edge": True}
-            if new not in pieces:
+            if not pieces.get(new):  # another sura, or a verse without letters
                 continue
             s = containment("".join(pieces[p] for p in range(a, b + 1)), q)
             if s >= similarity - 0.02:

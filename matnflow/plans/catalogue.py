@@ -552,7 +552,7 @@ def agg_health(spark, d):
 
 
 _SLICED = " UNION ALL ".join(
-    f"SELECT lang, '{n}' AS slice, sum(coalesce(({t}), false)::INT)::BIGINT AS n, round(100 * (1 - avg(least(1.0, cer)) FILTER (coalesce(({t}), false))), 6) AS accuracy, "
+    f"SELECT lang, '{n}' AS slice, sum(coalesce(({t}), false)::INT)::BIGINT AS n, round(100 * (1 - avg(least(1.0, cer)) FILTER (coalesce(({t}), false) AND cer IS NOT NULL)), 6) AS accuracy, "
     f"round(avg((cer <= 0.10)::INT) FILTER (coalesce(({t}), false)), 6) AS near_perfect, round(avg(found::INT) FILTER (coalesce(({t}), false)), 6) AS found_share FROM evaluate GROUP BY lang"
     for n, t in ev.SLICES.items()
 )
