@@ -28,6 +28,7 @@ EVIDENCE = 5.0  # deviations by which a block must exceed in links, tags or repe
 CONE = 0.6  # part of an outlier's squared length that must lie in the directions of spam
 SHORT, LONG = 120, 600  # characters: lines below are joined to blocks of one kind, lines above are cut
 WIDE_SPREAD = 0.2  # documents of a language that hold a function word, at least
+FEW_DOCS, FEW_BLOCKS = 100, 500  # a language with fewer takes the words and the statistics of all
 
 _URL = r"(?:(?:https?|hxxps?|ftp)://|www\.)[^\s\]|<>\"')]*|[\w-]+(?:\.[\w-]+)*\s?\[dot\]\s?\w+(?:/[^\s\]|<>\"')]*)?"
 URL = re.compile(_URL, re.I)
@@ -104,7 +105,8 @@ def function_words(docs: DataFrame) -> dict[str, frozenset[str]]:
     """Words that at least ``WIDE_SPREAD`` of a language's documents of 30 words or more hold, by counts over all documents.
 
     Few words can be in a fifth of all documents: at most five times the mean number of
-    distinct words of a document reach the driver, for each language.
+    distinct words of a document reach the driver, for each language. A language of few
+    documents takes the words of all languages.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +134,10 @@ def function_words(docs: DataFrame) -> dict[str, frozenset[str]]:
     rows = counted.where("word <> ''").join(F.broadcast(whole), "lang").where(F.col("n") >= F.greatest(F.lit(2.0), WIDE_SPREAD * F.col("docs"))).collect()
     out: dict[str, set[str]] = {}
     for r in rows:
-        out.setdefault(r.lang, set()).add(r.word)
-    return {k: frozenset(v) for k, v in out.items()}
+        if r.docs >= FEW_DOCS:
+            out.setdefault(r.lang, set()).add(r.word)
+    every = frozenset(r.word for r in rows) if not out else frozenset().union(*out.values())
+    return {k: frozenset(v) for k, v in out.items()} | {"": every}
 
 
 def block_features(docs: DataFrame, words: dict[str, frozenset[str]]) -> DataFrame:
@@ -144,7 +148,7 @@ def block_features(docs: DataFrame, words: dict[str, frozenset[str]]) -> DataFra
         for b in batches:
             rows = []
             for doc, group, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text"))):
-                known = words.get(group, frozenset())
+                known = words.get(group, words[""])
                 # equal blocks of a text are measured once
                 pieces = Counter(blocks_of(text))
                 whole = sum(len(line) + 1 for line in text.splitlines() if line.strip()) - 1
@@ -173,19 +177,26 @@ def spam_blocks(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``distance`` (squared) and ``spam``.
 
     Per language: medians, median absolute deviations (not below a least scale), and the
-    correlation of deviations clipped at 2.5, all over all blocks.
+    correlation of deviations clipped at 2.5, all over all blocks. A language of few
+    blocks, where spam could be the rule, takes the statistics of all languages.
     """
-    medians = blocks.groupBy("lang").agg(*[F.coalesce(F.percentile_approx(f, 0.5, 2000), F.lit(0.0)).alias(f) for f in FEATURES]).collect()
+    # the rollup's row without a language holds all of them
+    medians = blocks.rollup("lang").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.percentile_approx(f, 0.5, 2000), F.lit(0.0)).alias(f) for f in FEATURES]).collect()
     center = {r.lang: [r[f] for f in FEATURES] for r in medians}
+    every = center.pop(None, None)
+    few = {r.lang for r in medians if r.lang is not None and r.n < FEW_BLOCKS}
+    center |= {lang: every for lang in few}
     if not center:
         return blocks.withColumn("distance", F.lit(0.0)).withColumn("spam", F.lit(False))
     off = [F.abs(_standard(center, None, i)) for i in range(5)]
-    deviations = blocks.groupBy("lang").agg(*[F.coalesce(F.percentile_approx(o, 0.5, 2000), F.lit(0.0)).alias(f) for o, f in zip(off, FEATURES)]).collect()
+    deviations = blocks.rollup("lang").agg(*[F.coalesce(F.percentile_approx(o, 0.5, 2000), F.lit(0.0)).alias(f) for o, f in zip(off, FEATURES)]).collect()
     scale = {r.lang: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), LEAST_SCALE) for r in deviations}
+    every = scale.pop(None)
+    scale |= {lang: every for lang in few}
     z = [_standard(center, scale, i) for i in range(5)]
     clipped = [F.greatest(F.lit(-2.5), F.least(F.lit(2.5), x)) for x in z]
     pairs = [(i, j) for i in range(5) for j in range(i, 5)]
-    moments = blocks.groupBy("lang").agg(*[F.avg(clipped[i] * clipped[j]).alias(f"m{i}{j}") for i, j in pairs]).collect()
+    moments = blocks.rollup("lang").agg(*[F.avg(clipped[i] * clipped[j]).alias(f"m{i}{j}") for i, j in pairs]).collect()
     inverse = {}
     for r in moments:
         m = np.zeros((5, 5))
@@ -194,6 +205,9 @@ def spam_blocks(blocks: DataFrame) -> DataFrame:
         d = np.sqrt(np.maximum(np.diag(m), 0.05))
         inverse[r.lang] = np.linalg.inv(0.8 * m / np.outer(d, d) * (1 - np.eye(5)) + np.eye(5))
 
+    every = inverse.pop(None)
+    inverse |= {lang: every for lang in few}
+
     schema = blocks.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", distance double, spam boolean"
     names = [f.name for f in blocks.schema.fields]
 
