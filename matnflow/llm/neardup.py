@@ -121,6 +121,21 @@ class Fingerprints:
         return band, own, up
 
 
+def allowed_bits(similarity: float, deviations: float = 4.0) -> int:
+    """Bits of all blocks in which fingerprints of sets of that similarity may differ: the mean and so many deviations.
+
+    The chance that a bit differs is taken where it is largest, over sizes within a band.
+    """
+    worst = 0.0
+    for size in np.linspace(1.0, 4.0, 31):  # in units of the band's least size
+        rate = math.log(2) / 2 * size
+        union = 2 / (1 + similarity)  # of two sets of size 1
+        one_sided = math.exp(-rate * (1 - similarity) / 2 * union)
+        worst = max(worst, 2 * math.exp(-rate * similarity * union) * (1 - one_sided) * one_sided)
+    n = BITS * BLOCKS
+    return math.ceil(n * worst + deviations * math.sqrt(n * worst * (1 - worst)))
+
+
 def pack(fingerprints: int, n: int, raised: bool) -> tuple[int, int]:
     """Five fingerprints, the set's size (as far as it fits) and whether it is a raised one, in two signed longs."""
     whole = fingerprints | min(n, (1 << SIZE_BITS) - 1) << (BLOCKS * BITS) | raised << (BLOCKS * BITS + SIZE_BITS)
@@ -304,7 +319,7 @@ def compare(rows: DataFrame, radius: int, most_bits: int, similarity: float, hot
 
 def similar_pairs(
     records: DataFrame, rec_id: str = "rec_id", text: str = "text", similarity: float = 0.7,
-    threshold: int = 1, most_bits: int = 32, hot_rows: int = 20_000,
+    threshold: int = 1, most_bits: int | None = None, hot_rows: int = 20_000,
 ) -> DataFrame:
     """Pairs (rec_a, rec_b), rec_a < rec_b, of records that share at least ``similarity`` of their distinct words.
 
@@ -312,7 +327,7 @@ def similar_pairs(
     an Arabic letter, match nothing; equal sets always match. Records of equal sets are one
     class; classes are compared, and pairs of classes expanded to their records. Records are
     not extended transitively. ``threshold`` is what is added to the covering radius;
-    ``most_bits`` of the 115 may differ. Anchors of over ``hot_rows`` fingerprints are cut
+    ``most_bits`` of the 115 may differ, by default ``allowed_bits``. Anchors of over ``hot_rows`` fingerprints are cut
     into chunks that meet pairwise, so no task holds more than two chunks.
     """
     slim = records.select(F.col(rec_id).cast("long").alias("rec"), F.col(text).alias("x")).where("x IS NOT NULL")
@@ -321,6 +336,7 @@ def similar_pairs(
     classes = base.groupBy("c1", "c2").agg(F.min(one).alias("one"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes.select("c1", "c2", "copies", F.col("one.rec").alias("id"), "one.*").drop("rec"))
     radius = COVERING + threshold
+    most_bits = allowed_bits(similarity) if most_bits is None else most_bits
     # at most 4096 anchors x blocks x bands have a count at all
     crowded = at_anchors(classes, radius, {}).groupBy("at").count().where(F.col("count") > hot_rows).collect()
     hot = {r["at"]: math.ceil(r["count"] / hot_rows) for r in crowded}
