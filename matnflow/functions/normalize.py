@@ -144,6 +144,20 @@ def clip_words(text: Column | str, key: Column | str, low: int = 20, high: int =
     return F.when(F.length(t) <= high, t).when(F.length(run) < low, F.substring(t, 1, high)).otherwise(run)
 
 
+def wrap(text: Column | str, width: int = 40) -> Column:
+    """lines of at most ``width`` characters, filled greedily; a longer word has a line of its own."""
+    words = F.filter(F.split(_c(text), SPACE), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+
+    def add(acc: Column, word: Column) -> Column:
+        longer = F.when(acc["line"] == "", word).otherwise(F.concat(acc["line"], F.lit(" "), word))
+        full = (acc["line"] != "") & (F.length(longer) > width)
+        lines = F.when(full, F.concat(acc["lines"], F.array(acc["line"]))).otherwise(acc["lines"])
+        return F.struct(lines.alias("lines"), F.when(full, word).otherwise(longer).alias("line"))
+
+    return F.aggregate(words, start, add, lambda acc: F.when(acc["line"] == "", acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"]))))
+
+
 def too_short(text: Column | str, least: int = 4) -> Column:
     """Whether a text is null or trims to fewer than ``least`` characters."""
     return F.coalesce(F.length(squeeze(text)), F.lit(0)) < least

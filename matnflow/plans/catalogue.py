@@ -25,7 +25,7 @@ from ..session import spread, table
 from ..sources import corpora as cp
 from ..sources import pages as pg
 from ..streaming import feed as st
-from .pipeline import check_posts
+from .pipeline import check_posts, verify_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -644,6 +644,19 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return out.select("post_id", "religious", "incomplete", F.size("verdicts").alias("results"), F.when(F.size("verdicts") > 0, v["kind"]).alias("kind"), F.when(F.size("verdicts") > 0, F.round(v["similarity"], 9)).alias("similarity"))
 
 
+@query()
+def verify_all(spark, d):
+    """Every text of a picture verified as a whole, by the service profile."""
+    texts = spread(table(spark, d, "evaluate").select(F.col("row_id").alias("query"), "text"))
+    out = verify_texts(texts, table(spark, d, "ayat").select("pos", "sura", "aya", "text"), table(spark, d, "enc_hadith").select("pos", "id", "text"))
+    return out.select("query", "status", "origin", "kind", "confidence", F.round("similarity", 9).alias("similarity"))
+
+
+@query()
+def frag_wrap(spark, d):
+    return table(spark, d, "evaluate").select("row_id", F.explode(nm.wrap("text")).alias("line"))
+
+
 _CARD = (
     "concat('<article class=\"card\" data-kind=\"found\"><h3>', {e[grade]}, '</h3><blockquote>', {e[text]}, '</blockquote>', "
     "CASE WHEN attribution IS NULL THEN '' ELSE concat('<blockquote class=\"source\">', {e[attribution]}, '</blockquote>') END, '</article>')"

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fragments import fragments, strip_framing, strip_framing_original
-from ..functions.normalize import first_words, skeleton
+from ..functions.fragments import fragments, strip_framing, strip_framing_original, strip_framing_service
+from ..functions.normalize import first_words, skeleton, too_short
 from ..operators.match import search_reports, search_verses, with_skeleton
-from ..operators.rulings import check_rulings
-from ..operators.verdicts import fold_posts, report_kind, verse_kind
-from ..profiles import EXTENSION, Profile
+from ..operators.rulings import check_rulings, check_rulings_service
+from ..operators.verdicts import confidence, first_source, fold_posts, report_kind, verse_kind
+from ..profiles import EXTENSION, SERVICE, Profile
 
 
 def distinct_texts(posts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -57,3 +57,38 @@ def check_posts(
         scored = scored.join(told, "query", "left").join(failed, "query", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
     columns = ["post_id", "frag_no", "fragment", "skeleton", "report_like", "verse_like", "verse", "report", "ruling", "failed"]
     return fold_posts(scored.select(*columns), manual)
+
+
+def verify_texts(texts: DataFrame, verses: DataFrame, reports: DataFrame, rulings: DataFrame | None = None, profile: Profile = SERVICE) -> DataFrame:
+    """(query, status, origin, kind, confidence, similarity, source) of whole texts (query, text), one row each.
+
+    Verses come before reports and these before rulings (query, ord, text, scholar, ruling,
+    book, page_or_number: what was looked up for each text). Null texts and those of fewer
+    than four characters get the status ``needs_input``; what no source holds is
+    ``not_found`` with low confidence.
+    """
+    base = texts.select("query", "text", too_short("text").alias("short"))
+    whole = base.where("NOT short")
+    verses, reports = with_skeleton(verses), with_skeleton(reports)
+    hits = search_verses(with_skeleton(whole).select("query", "skeleton"), verses, profile=profile).withColumn("kind", verse_kind("similarity", profile)).where("kind IS NOT NULL")
+    spans = hits.select("query", "kind", "similarity", F.explode(F.sequence("first", "last")).alias("pos")).join(verses.select("pos", "text"), "pos")
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"])
+    told = spans.groupBy("query", "kind", "similarity").agg(F.array_join(joined, " ").alias("source"))
+    result = lambda origin, sure: F.struct(F.lit(origin).alias("origin"), "kind", sure.alias("confidence"), "similarity", "source")
+    verse = told.select("query", result("verses", confidence("similarity")).alias("verse"))
+    framed = whole.select("query", F.coalesce(skeleton(strip_framing_service("text")), F.lit("")).alias("skeleton"))
+    found = search_reports(framed, reports, profile).withColumn("kind", report_kind("similarity", profile)).where("kind IS NOT NULL")
+    report = found.join(reports.select("pos", F.col("text").alias("source")), "pos").select("query", result("reports", confidence("similarity")).alias("report"))
+    out = base.join(verse, "query", "left").join(report, "query", "left")
+    sources = [F.col("verse"), F.col("report")]
+    if rulings is not None:
+        pairs = whole.select("query", F.col("text").alias("text_q")).join(rulings, "query")
+        ruled = check_rulings_service(pairs, profile).where("kind <> 'not_found'").withColumnRenamed("source_text", "source")
+        out = out.join(ruled.select("query", result("rulings", F.col("confidence")).alias("ruling")), "query", "left")
+        sources.append(F.col("ruling"))
+    out = out.withColumn("r", first_source(*sources))
+    return out.select(
+        "query", F.when(F.col("short"), "needs_input").otherwise("ok").alias("status"), "r.origin",
+        F.when(~F.col("short"), F.coalesce("r.kind", F.lit("not_found"))).alias("kind"),
+        F.when(~F.col("short"), F.coalesce("r.confidence", F.lit("low"))).alias("confidence"), "r.similarity", "r.source",
+    )

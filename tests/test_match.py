@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from matnflow.operators import candidates as cd
 from matnflow.operators import match as mt
-from matnflow.plans.pipeline import check_posts, distinct_texts
+from matnflow.plans.pipeline import check_posts, distinct_texts, verify_texts
 from matnflow.profiles import SERVICE
 
 # Invented verses: nonsense words, three suras; the last verse of sura 2 recurs in sura 3.
@@ -113,6 +113,21 @@ def test_whole_check(spark):
     assert 6 not in rows
 
 
+def test_whole_texts(spark):
+    report = "من زرع شجرة فله ظلها وثمرها دائما"
+    texts = [(1, VERSES[3][3]), (2, "قال رسول الله: " + report), (3, "ab"), (4, None), (5, "لا علاقة لهذا الكلام بشيء مما سبق ذكره"), (6, "قول قصير السند جاء في كتاب قديم")]
+    ruled = [(6, 0, "قول قصير السند جاء في كتاب قديم", "س", "ضعيف", "ك", "1")]
+    out = verify_texts(
+        spark.createDataFrame(texts, "query int, text string"), verses(spark), spark.createDataFrame(REPORTS, "pos int, id string, text string"),
+        spark.createDataFrame(ruled, "query int, ord int, text string, scholar string, ruling string, book string, page_or_number string"),
+    )
+    got = {r.query: (r.status, r.origin, r.kind, r.confidence) for r in out.collect()}
+    assert got == {
+        1: ("ok", "verses", "quran_exact", "high"), 2: ("ok", "reports", "hadith_authentic", "high"), 3: ("needs_input", None, None, None),
+        4: ("needs_input", None, None, None), 5: ("ok", None, "not_found", "low"), 6: ("ok", "rulings", "weak_or_fabricated", "high"),
+    }
+
+
 def test_distinct_texts(spark):
     texts, links = distinct_texts(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "post_id int, text string"))
     assert texts.count() == 2 and links.join(texts, "text_key").count() == 3

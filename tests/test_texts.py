@@ -32,6 +32,10 @@ def test_other_forms(spark):
     assert values(spark, [" abc ", "abcd", None], nm.too_short("t")) == [True, False, True]
 
 
+def test_wrap(spark):
+    assert values(spark, ["aaa bbb  cc dddddddd e", "", None], nm.wrap("t", 7)) == [["aaa bbb", "cc", "dddddddd", "e"], [], None]
+
+
 def test_clip_words(spark):
     text = " ".join(f"w{i}" for i in range(60))
     got = values(spark, ["short", text, "x" * 100, None], nm.clip_words("t", "i"))
