@@ -11,6 +11,7 @@ from ..operators.match import search_reports, search_verses, with_skeleton
 from ..operators.rulings import check_rulings, check_rulings_service
 from ..operators.verdicts import confidence, first_source, fold_posts, report_kind, verse_kind
 from ..profiles import EXTENSION, SERVICE, Profile
+from ..session import cut
 
 
 def distinct_texts(posts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -30,7 +31,8 @@ def check_posts(
     first twelve words returned. Posts without a fragment have no row.
     """
     cut_up = fragments(posts).withColumn("skeleton", skeleton("fragment"))
-    cut_up = cut_up.withColumn("query", F.xxhash64("post_id", "form"))
+    # read by every source's search: the posts are taken apart once
+    cut_up = cut(cut_up.withColumn("query", F.xxhash64("post_id", "form")))
     verses, reports = with_skeleton(verses), with_skeleton(reports)
     asked = cut_up.select("query", "skeleton")
     hits = search_verses(asked, verses, profile=profile).withColumn("kind", verse_kind("similarity", profile)).where("kind IS NOT NULL")
