@@ -20,7 +20,7 @@ from ..operators import match as mt
 from ..operators import rulings as rl
 from ..operators import vectors as vc
 from ..operators import verdicts as vd
-from ..profiles import SERVICE
+from ..profiles import EXTENSION, SERVICE
 from ..session import spread, table
 from ..sources import corpora as cp
 from ..sources import pages as pg
@@ -481,21 +481,24 @@ def rul_parse_snippets_service(spark, d):
     return rl.parse_snippets_service(_snippets(spark, d), "rec_id")
 
 
-def _lookup(spark, d):
-    """Reports with the rulings of the records that begin with the same twelve words."""
-    a = table(spark, d, "enc_hadith").where("text IS NOT NULL").select(F.col("rec_id").alias("query"), F.col("text").alias("text_q"), nm.first_words(nm.fold_letters("text")).alias("w"))
-    b = table(spark, d, "dorar_hadith").where("text IS NOT NULL").select(nm.first_words(nm.fold_letters("text")).alias("w"), F.col("rec_id").alias("ord"), "text", "scholar", "ruling", "book", "page_or_number")
-    return a.join(b, "w").drop("w")
+def _records(spark, d):
+    return table(spark, d, "dorar_hadith").select(F.col("rec_id").alias("ord"), "text", "scholar", "ruling", "book", "page_or_number")
+
+
+def _lookup(spark, d, share):
+    """Reports with every ruling record that is close to them."""
+    reports = table(spark, d, "enc_hadith").select(F.col("rec_id").alias("query"), F.col("text").alias("text_q"))
+    return rl.local_rulings(reports, _records(spark, d), share)
 
 
 @query()
 def rul_check(spark, d):
-    return rl.check_rulings(_lookup(spark, d)).select("query", "kind", F.round("similarity", 9).alias("similarity"), F.size("rulings").alias("rulings"))
+    return rl.check_rulings(_lookup(spark, d, EXTENSION.ruling_same)).select("query", "kind", F.round("similarity", 9).alias("similarity"), F.size("rulings").alias("rulings"))
 
 
 @query()
 def rul_check_service(spark, d):
-    return rl.check_rulings_service(_lookup(spark, d)).select("query", "kind", "confidence", F.round("similarity", 9).alias("similarity"), "rulings")
+    return rl.check_rulings_service(_lookup(spark, d, rl.SERVICE_FLOOR)).select("query", "kind", "confidence", F.round("similarity", 9).alias("similarity"), "rulings")
 
 
 # ---------------------------------------------------------------- vectors

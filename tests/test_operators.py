@@ -172,3 +172,42 @@ def test_stream_resumes_without_doubling(spark, tmp_path):
         run = feed.check_feed(feed.worth_checking(feed.new_posts(posts)), lambda b: b.select("post_id"), out, state, once=True)
         run.awaitTermination()
     assert sorted(r.post_id for r in spark.read.parquet(f"{out}/batch=*").collect()) == [0, 1, 2, 3]
+
+
+def ruled_tables(folder, spark):
+    """Tables of a report, and of rulings on it in words changed at the beginning; a reading of the report and one that only a ruling holds."""
+    report = "من زرع شجرة فله ظلها وثمرها دائما ومن سقى عطشان في يوم حار كتب له اجر كبير عند ربه"
+    other = "خير الناس انفعهم للناس واحب الاعمال سرور تدخله على قلب مسلم حزين او جائع فقير"
+    enc = [(1, 0, "1", report)]
+    held = [(10, report.replace("شجرة", "نخلة"), "أ", "صحيح"), (11, report, "ب", "ضعيف"), (12, other.replace("الناس", "العباد", 1), "ج", "موضوع")]
+    spark.createDataFrame(enc, "rec_id long, pos int, id string, text string").write.parquet(f"{folder}/enc_hadith.parquet")
+    held = spark.createDataFrame(held, "rec_id long, text string, scholar string, ruling string").withColumns({"book": F.lit("ك"), "page_or_number": F.lit("1")})
+    held.write.parquet(f"{folder}/dorar_hadith.parquet")
+    spark.createDataFrame([(1, 0, 1, 1, "طلع الصباح على الوادي البعيد فاستيقظ الرعاة")], "rec_id long, pos int, sura int, aya int, text string").write.parquet(f"{folder}/ayat.parquet")
+    posts = [(1, "hadith", f"قال رسول الله ﷺ «{report}»"), (2, "hadith", f"قال رسول الله ﷺ «{other}»")]
+    spark.createDataFrame(posts, "row_id long, source string, text string").write.parquet(f"{folder}/evaluate.parquet")
+    return str(folder)
+
+
+def test_rulings_reach_reworded_beginnings(spark, tmp_path):
+    from matnflow.plans import catalogue
+
+    d = ruled_tables(tmp_path, spark)
+    assert [(r.query, r.kind, r.rulings) for r in catalogue.QUERIES["rul_check"](spark, d).collect()] == [(1, "scholars_differed", 2)]
+    got = catalogue.QUERIES["rul_check_service"](spark, d).collect()
+    assert [(r.query, r.kind, r.rulings) for r in got] == [(1, "scholars_differed", "ب: ضعيف | أ: صحيح")]
+
+
+def test_patterns_equal_containment():
+    import random
+
+    from matnflow.functions import kernels as kn
+
+    draw = random.Random(1)
+    patterns = ["".join(draw.choices("abc", k=k)) for k in (1, 5, 12, 63, 64, 65, 100, 128, 129, 200) * 5]
+    known = kn.Patterns(patterns)
+    for i in range(30):
+        text = "".join(c for c in draw.choice(patterns) + draw.choice(patterns) if draw.random() < 0.85) if i % 2 else "".join(draw.choices("abcd", k=draw.choice([5, 64, 130, 260])))
+        want = {i for i, p in enumerate(patterns) if len(p) <= len(text) and kn.containment(p, text) >= 0.65 - 1e-9}
+        assert set(known.within(text, 0.65).tolist()) == want
+        assert set(known.within(text, 0.65, True).tolist()) == {i for i in want if len(patterns[i]) < len(text)}
