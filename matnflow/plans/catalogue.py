@@ -640,9 +640,9 @@ def check_all(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Every reading of a picture as a post, checked against verses and reports; one row per post."""
+    """Every reading of a picture as a post, checked against verses, reports and rulings; one row per post."""
     posts = spread(table(spark, d, "evaluate").select(F.col("row_id").alias("post_id"), "text"))
-    out = check_posts(posts, table(spark, d, "ayat").select("pos", "sura", "aya", "text"), table(spark, d, "enc_hadith").select("pos", "id", "text"))
+    out = check_posts(posts, table(spark, d, "ayat").select("pos", "sura", "aya", "text"), table(spark, d, "enc_hadith").select("pos", "id", "text"), records=_records(spark, d))
     v = F.element_at("verdicts", 1)
     return out.select("post_id", "religious", "incomplete", F.size("verdicts").alias("results"), F.when(F.size("verdicts") > 0, v["kind"]).alias("kind"), F.when(F.size("verdicts") > 0, F.round(v["similarity"], 9)).alias("similarity"))
 
@@ -651,7 +651,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 def verify_all(spark, d):
     """Every text of a picture verified as a whole, by the service profile."""
     texts = spread(table(spark, d, "evaluate").select(F.col("row_id").alias("query"), "text"))
-    out = verify_texts(texts, table(spark, d, "ayat").select("pos", "sura", "aya", "text"), table(spark, d, "enc_hadith").select("pos", "id", "text"))
+    out = verify_texts(texts, table(spark, d, "ayat").select("pos", "sura", "aya", "text"), table(spark, d, "enc_hadith").select("pos", "id", "text"), records=_records(spark, d))
     return out.select("query", "status", "origin", "kind", "confidence", F.round("similarity", 9).alias("similarity"))
 
 

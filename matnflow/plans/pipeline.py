@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fragments import fragments, strip_framing, strip_framing_original, strip_framing_service
 from ..functions.normalize import first_words, skeleton, too_short
 from ..operators.match import search_reports, search_verses, with_skeleton
-from ..operators.rulings import check_rulings, check_rulings_service
+from ..operators.rulings import SERVICE_FLOOR, check_rulings, check_rulings_service, local_rulings
 from ..operators.verdicts import confidence, first_source, fold_posts, report_kind, verse_kind
 from ..profiles import EXTENSION, SERVICE, Profile
 from ..session import cut
@@ -22,13 +22,15 @@ def distinct_texts(posts: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
 
 def check_posts(
     posts: DataFrame, verses: DataFrame, reports: DataFrame, rulings: DataFrame | None = None,
-    profile: Profile = EXTENSION, manual: bool = False,
+    profile: Profile = EXTENSION, manual: bool = False, records: DataFrame | None = None,
 ) -> DataFrame:
     """(post_id, religious, incomplete, verdicts) of posts (post_id, text).
 
     verses: (pos, sura, aya, text); reports: (pos, id, text); rulings: (query, ord, text,
     scholar, ruling, book, page_or_number, failed), what a lookup by the unframed quote's
-    first twelve words returned. Posts without a fragment have no row.
+    first twelve words returned. records: a local source of rulings instead, (ord, text,
+    scholar, ruling, book, page_or_number), searched whole for the fragments that no verse
+    or report answers. Posts without a fragment have no row.
     """
     cut_up = fragments(posts).withColumn("skeleton", skeleton("fragment"))
     # read by every source's search: the posts are taken apart once
@@ -48,7 +50,14 @@ def check_posts(
     report = found.join(reports.select("pos", F.col("text").alias("source")), "pos").withColumn("key", F.lit(None).cast("string")).select("query", result.alias("report"))
     scored = cut_up.join(verse, "query", "left").join(report, "query", "left")
     empty = F.lit(None).cast("struct<kind: string, source: string, similarity: double, key: string>")
-    if rulings is None:
+    if records is not None:
+        # the fold asks for rulings of these fragments only; the hits are computed once
+        scored = cut(scored)
+        open_ = scored.where(F.col("verse").isNull() & F.col("report").isNull() & (F.col("report_like") | F.lit(manual)))
+        pairs = local_rulings(open_.select("query", strip_framing("fragment").alias("text_q")), records, profile.ruling_same)
+        told = check_rulings(pairs, profile).withColumnRenamed("source_text", "source").withColumn("key", F.lit(None).cast("string")).select("query", result.alias("ruling"))
+        scored = scored.join(told, "query", "left").withColumn("failed", F.lit(False))
+    elif rulings is None:
         scored = scored.withColumn("ruling", empty).withColumn("failed", F.lit(False))
     else:
         words = cut_up.select("query", F.col("fragment").alias("text_q"), first_words(strip_framing_original("fragment")).alias("lookup"))
@@ -61,11 +70,12 @@ def check_posts(
     return fold_posts(scored.select(*columns), manual)
 
 
-def verify_texts(texts: DataFrame, verses: DataFrame, reports: DataFrame, rulings: DataFrame | None = None, profile: Profile = SERVICE) -> DataFrame:
+def verify_texts(texts: DataFrame, verses: DataFrame, reports: DataFrame, rulings: DataFrame | None = None, profile: Profile = SERVICE, records: DataFrame | None = None) -> DataFrame:
     """(query, status, origin, kind, confidence, similarity, source) of whole texts (query, text), one row each.
 
     Verses come before reports and these before rulings (query, ord, text, scholar, ruling,
-    book, page_or_number: what was looked up for each text). Null texts and those of fewer
+    book, page_or_number: what was looked up for each text; or ``records``, a local source
+    without ``query``, searched for the texts that no verse or report answers). Null texts and those of fewer
     than four characters get the status ``needs_input``; what no source holds is
     ``not_found`` with low confidence.
     """
@@ -83,6 +93,10 @@ def verify_texts(texts: DataFrame, verses: DataFrame, reports: DataFrame, ruling
     report = found.join(reports.select("pos", F.col("text").alias("source")), "pos").select("query", result("reports", confidence("similarity")).alias("report"))
     out = base.join(verse, "query", "left").join(report, "query", "left")
     sources = [F.col("verse"), F.col("report")]
+    if records is not None:
+        out = cut(out)  # the hits are computed once
+        open_ = out.where(~F.col("short") & F.col("verse").isNull() & F.col("report").isNull())
+        rulings = local_rulings(open_.select("query", F.col("text").alias("text_q")), records, SERVICE_FLOOR).drop("text_q")
     if rulings is not None:
         pairs = whole.select("query", F.col("text").alias("text_q")).join(rulings, "query")
         ruled = check_rulings_service(pairs, profile).where("kind <> 'not_found'").withColumnRenamed("source_text", "source")

@@ -198,6 +198,16 @@ def test_rulings_reach_reworded_beginnings(spark, tmp_path):
     assert [(r.query, r.kind, r.rulings) for r in got] == [(1, "scholars_differed", "ب: ضعيف | أ: صحيح")]
 
 
+def test_registered_pipelines_read_rulings(spark, tmp_path):
+    from matnflow.plans import catalogue
+
+    d = ruled_tables(tmp_path, spark)
+    kinds = {r.post_id: r.kind for r in catalogue.QUERIES["check_all"](spark, d).collect()}
+    assert kinds == {1: "hadith_authentic", 2: "weak_or_fabricated"}
+    told = {r.query: (r.origin, r.kind) for r in catalogue.QUERIES["verify_all"](spark, d).collect()}
+    assert told == {1: ("reports", "hadith_authentic"), 2: ("rulings", "weak_or_fabricated")}
+
+
 def test_patterns_equal_containment():
     import random
 
