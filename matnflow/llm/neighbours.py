@@ -24,6 +24,7 @@ DIM = 64
 SAMPLE = 20_000  # vectors that the routing tree is fitted on, at most
 SHARD = 4_000  # vectors of a shard
 LEAF = 256  # vectors of a leaf in a shard's tree
+SLACK = 1e-4  # more than a cosine of rounded unit vectors can be off
 
 
 def distance(cos: np.ndarray) -> np.ndarray:
@@ -288,9 +289,12 @@ def nearest_of(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: floa
     Rows are sharded by hash, each shard builds its tree, the queries go through every
     shard and the shards' winners merge. Within a shard a subtree is left out when it is
     farther than ``factor`` times the k-th distance found so far; factor one is exact.
-    Ties go to the smaller vec_id; unusable rows are left out on both sides.
+    Ties go to the smaller vec_id; unusable rows are left out on both sides. Copies of one
+    vector are stored once; k + 1 classes hold k neighbours besides the query itself.
     """
-    stored, asked = usable(vectors), usable(queries)
+    classes, asked = cut(classes_of(usable(vectors), k + 1)), usable(queries)
+    stored, wanted = classes.select(F.col("id").alias("vec"), "sign", "data"), k
+    k += 1
     shards = max(1, math.ceil(stored.count() / shard_rows))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,13 +315,19 @@ def nearest_of(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: floa
             for s in range(0, len(q), 1024):
                 p = q[s : s + 1024]
                 c = self.qunit[p] @ self.unit[rows].T
-                c[self.qids[p][:, None] == self.ids[rows][None, :]] = -3.0
-                m = min(k + 4, len(rows))  # some more than k, as close ties are settled exactly
-                cols = np.argpartition(-c, m - 1, axis=1)[:, :m]
-                x, y = np.repeat(p, m), rows[cols.ravel()]
-                cos = np.where(self.qids[x] == self.ids[y], -3.0, exact_cosine(self.qraw[x], self.raw[y])).reshape(-1, m)
-                who = self.ids[y].reshape(-1, m)
-                all_cos, all_who = np.hstack([self.cos[p], cos]), np.hstack([self.who[p], who])
+                m = min(k, len(rows))
+                kth = -np.partition(-c, m - 1, axis=1)[:, m - 1]
+                # every row that may tie with the k-th: ties are settled exactly, by id
+                x, y = np.nonzero(c >= (kth - SLACK)[:, None])
+                parts = [slice(i, i + 2**17) for i in range(0, len(x), 2**17)]
+                cos = np.concatenate([exact_cosine(self.qraw[p[x[i]]], self.raw[rows[y[i]]]) for i in parts])
+                who = self.ids[rows[y]]
+                best = np.lexsort((who, -cos, x))
+                place = np.arange(len(x)) - np.searchsorted(x, x[best])  # x is in order already
+                best, place = best[place < k], place[place < k]
+                near, ids = np.full((len(p), k), -2.0), np.full((len(p), k), -1, dtype=np.int64)
+                near[x[best], place], ids[x[best], place] = cos[best], who[best]
+                all_cos, all_who = np.hstack([self.cos[p], near]), np.hstack([self.who[p], ids])
                 order = np.lexsort((all_who, -all_cos), axis=1)[:, :k]
                 self.cos[p] = np.take_along_axis(all_cos, order, 1)
                 self.who[p] = np.take_along_axis(all_who, order, 1)
@@ -340,5 +350,9 @@ def nearest_of(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: floa
 
     rows = a.unionByName(b).repartition("shard").sortWithinPartitions("shard", "role")
     found = rows.mapInArrow(search, "vec_id long, neighbour long, cosine double")
+    members = classes.select(F.col("id").alias("neighbour"), "ids")
+    # of each shard's winners only the best k + 1 classes can hold a neighbour
     order = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour", "cosine")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(members, "neighbour")
+    found = found.select("vec_id", F.explode("ids").alias("neighbour"), "cosine").where("neighbour <> vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted).select("vec_id", "rank", "neighbour", "cosine")

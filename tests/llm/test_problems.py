@@ -146,6 +146,22 @@ def test_similar_vectors_equal_brute_force(spark):
     assert neighbours.similar_pairs(df.where(F.lit(False))).count() == 0
 
 
+def test_nearest_of_many_ties_are_the_smallest_ids(spark):
+    draw = np.random.default_rng(7)
+    rows = [(i, 1.0, (draw.integers(1, 5) * np.ones(64, int)).tolist(), "x") for i in range(120)]  # one direction, four lengths
+    rows += [(200 + i, 1.0, draw.integers(-90, 90, 64).tolist(), "x") for i in range(80)]
+    order = draw.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "vec_id long, scales float, data array<tinyint>, id string")
+    asked = [0, 50, 119]
+    got = {i: [] for i in asked}
+    for r in neighbours.nearest_of(df, df.where(F.col("vec_id").isin(asked)), factor=1.0).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append(r.neighbour)
+    assert got == {i: [j for j in range(12) if j != i][:10] for i in asked}
+    copies = spark.createDataFrame([(i, 1.0, [3] * 64, "x") for i in draw.permutation(300).tolist()], "vec_id long, scales float, data array<tinyint>, id string")
+    near = neighbours.nearest_of(copies, copies.where("vec_id = 250"), shard_rows=100).orderBy("rank").collect()
+    assert [r.neighbour for r in near] == list(range(10))
+
+
 def test_many_shards_keep_every_link(spark):
     df = vectors(spark)
     rows = neighbours.usable(df)
