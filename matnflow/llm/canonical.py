@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,25 +31,49 @@ INVISIBLE = (
 )
 BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 JOINED = r"([\x{64b}-\x{65f}\x{670}]*[\x{620}\x{622}-\x{64a}\x{66e}-\x{66f}\x{671}-\x{6d3}\x{6d5}])"
+# Marks that a hamza above passes on its way to its letter (their combining class is below its own).
+PASSED = r"\x{64b}-\x{652}\x{655}\x{656}\x{65c}\x{65f}\x{670}\x{618}-\x{61a}\x{8f0}-\x{8f2}"
 _KINDS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
+# Ranges whose <compat> decompositions are drawn like the letters they stand for: digraphs and f-ligatures.
+_DIGRAPHS = ((0x132, 0x133), (0x1C7, 0x1CC), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
 
 
+@cache
 def compatibility_forms() -> tuple[dict[str, str], dict[str, str]]:
     """Characters that are only another shape of one letter, and of several, by Unicode's own decompositions.
 
     The signs from U+FDF0 print as one drawing, not as the words they stand for, and stay;
-    so do marks shown on a blank.
+    so do marks shown on a blank. A hyphen that doesn't break prints as one that does.
     """
-    one, many = {}, {}
-    for first, last in ((0xFB50, 0xFDEF), (0xFE70, 0xFEFC), (0xFF01, 0xFFEE)):
+    one, many = {"\u2011": "\u2010"}, {}
+    ranges = [(r, _KINDS) for r in ((0xFB50, 0xFDEF), (0xFE70, 0xFEFC), (0xFF01, 0xFFEE))] + [(r, ("<compat>",)) for r in _DIGRAPHS]
+    for (first, last), kinds in ranges:
         for cp in range(first, last + 1):
             kind, _, codes = unicodedata.decomposition(chr(cp)).partition(" ")
-            to = "".join(chr(int(c, 16)) for c in codes.split())
-            if kind in _KINDS and to and to[0] != " ":
+            to = unicodedata.normalize("NFC", "".join(chr(int(c, 16)) for c in codes.split()))
+            if kind in kinds and to and to[0] != " ":
                 (one if len(to) == 1 else many)[chr(cp)] = to
     return one, many
 
 
+def _ranges(codes: list[int]) -> str:
+    """Code points in order as the inside of an RE2 class."""
+    spans: list[list[int]] = []
+    for c in codes:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in spans)
+
+
+@cache
+def composable() -> str:
+    """RE2 class of all that NFC may change: marks, Hangul letters, and single characters with another normal form."""
+    singles = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    return f"[\\p{{M}}\\x{{1100}}-\\x{{11ff}}{_ranges(singles)}]"
+
+
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -61,7 +86,7 @@ def form_query(source: str, text: str) -> str:
     """
     one, many = compatibility_forms()
     shapes, plain = "".join(one), "".join(one.values())
-    seldom = "\\x{fb50}-\\x{fdef}\\x{fe70}-\\x{fefc}\\x{ff01}-\\x{ffee}"
+    seldom = _ranges(sorted(map(ord, one))) + "\\x{fef5}-\\x{fefc}"
     others = "".join(LOOKALIKES)
     # ligatures of several letters: lam-alef by single replacements, the rest only where a text holds one
     rest = [c for c in many if not "ﻵ" <= c <= "ﻼ"]
@@ -75,11 +100,11 @@ def form_query(source: str, text: str) -> str:
         joining = f"regexp_replace({joining}, '{letter}{JOINED}', '{joined}\\1', 'g')"
     steps = [
         f"regexp_replace({text}, '[{INVISIBLE}]+', '', 'g')",
-        f"CASE WHEN regexp_matches(f, '[\\x{{fb50}}-\\x{{fdef}}\\x{{fe70}}-\\x{{fe7f}}]') THEN "
+        f"CASE WHEN regexp_matches(f, '[{_ranges(sorted(map(ord, rest)))}]') THEN "
         f"array_to_string(list_transform(string_split(f, ''), lambda c: coalesce({spelled}[c], c)), '') ELSE f END",
         f"CASE WHEN regexp_matches(f, '[{seldom}]') THEN translate({lam_alef}, {_quote(shapes)}, {_quote(plain)}) ELSE f END",
         f"CASE WHEN regexp_matches(f, '[{others}]') THEN translate(f, {_quote(others)}, {_quote(''.join(LOOKALIKES.values()))}) ELSE f END",
-        "CASE WHEN regexp_matches(f, '\\p{M}') THEN regexp_replace(nfc_normalize(f), '[\\x{649}\\x{6cc}]\\x{654}', 'ئ', 'g') ELSE f END",
+        f"CASE WHEN regexp_matches(f, '{composable()}') THEN regexp_replace(nfc_normalize(f), '[\\x{{649}}\\x{{64a}}\\x{{6cc}}]([{PASSED}]*)\\x{{654}}', 'ئ\\1', 'g') ELSE f END",
         f"CASE WHEN regexp_matches(f, '[یک]') THEN translate({joining}, 'ی', 'ى') ELSE f END",
         f"trim(regexp_replace(f, '{BLANK}', ' ', 'g'))",
     ]

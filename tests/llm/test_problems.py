@@ -26,7 +26,8 @@ def test_forms(spark):
     same = [
         ("ﻣﺮﺣﺒﺎ", "مرحبا"), ("ﻻ ﺑﺄﺱ", "لا بأس"), ("أٰ", "أٰ"), ("غیر", "غير"), ("علی", "على"), ("ییی", "ييى"), ("کتاب", "كتاب"),
         ("ａｂｃ　１２", "abc 12"), ("a​b‍", "ab"), (" a \t\n b ", "a b"), ("رaMЕ", "رaME"), ("é", "é"), ("۱۲۳۷۸۹", "١٢٣٧٨٩"),
-        ("شَّ", "شَّ"), ("ﰀ", "ئج"),
+        ("شَّ", "شَّ"), ("ﰀ", "ئج"), ("سی\u064e\u0654ب", "سئ\u064eب"), ("سي\u0650\u0651\u0654", "سئ\u0650\u0651"), ("a\u2011b", "a\u2010b"), ("ﬁn", "fin"),
+        ("\u037e", ";"), ("\u1112\u1161\u11ab", "\ud55c"),
     ]
     other = [("علي", "على"), ("كتـاب", "كتاب"), ("ا", "أ"), ("ب", "بَ"), ("a,b", "a.b"), ("٤", "۴"), ("ملک", "ملك"), ("x²", "x2"), ("ﷺ", "صلى الله عليه وسلم")]
     rows = [(i, a, b) for i, (a, b) in enumerate(same + other)]
@@ -40,6 +41,20 @@ def test_forms(spark):
         assert forms[i][0] != forms[i][1], rows[i]
 
 
+def test_forms_equal_the_printing_model():
+    """Random strings of the characters that matter: the operator's form is the table's, character by character."""
+    import duckdb
+
+    draw = random.Random(5)
+    signs = "ابتيىیکكلمهوءأؤئآٱ \u064b\u064e\u0651\u0652\u0653\u0654\u0655\u0670\u200b\u200c\u00a0\u3000\ufeff\u00ad.,:«»()aBо۱٤ﻻﺍﻳﻲﷲﷺｘ（é"
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(12))) for _ in range(3000)] + [None, "", "\u200b"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?::VARCHAR[]) AS text", [texts])
+    ours = dict(con.sql("SELECT text, f FROM (" + canonical.form_query("t", "text") + ")").fetchall())
+    theirs = dict(con.sql("SELECT text, f FROM (" + queries.printed_sql("t", "text") + ")").fetchall())
+    assert {t: (ours[t], theirs[t]) for t in ours if ours[t] != theirs[t]} == {}
+
+
 def test_forms_of_odd_rows(spark):
     long = "ﻣﻦ " * 200_000
     df = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "​ ", 9), (4, long, 9)], "rec_id int, text string, form int")
