@@ -158,7 +158,14 @@ def test_similar_vectors_equal_brute_force(spark):
     for r in found.orderBy("vec_id", "rank").collect():
         by.setdefault(r.vec_id, []).append(r.neighbour)
     assert by == {i: lists[i] for i in lists if i % 50 == 0}
+    for factor, shard in ((1.0, 30), (1.0, None), (0.35, None)):
+        every = {}
+        for r in neighbours.nearest_to_all(df, factor=factor, shard_rows=shard).orderBy("vec_id", "rank").collect():
+            every.setdefault(r.vec_id, []).append(r.neighbour)
+        found = sum(len(set(every[i]) & set(lists[i])) for i in lists) / sum(map(len, lists.values()))
+        assert every == lists if factor == 1.0 else found >= 0.9
     assert neighbours.similar_pairs(df.where(F.lit(False))).count() == 0
+    assert neighbours.nearest_to_all(df.where(F.lit(False))).count() == 0
 
 
 def test_nearest_of_many_ties_are_the_smallest_ids(spark):
@@ -181,7 +188,9 @@ def test_many_shards_keep_every_link(spark):
     df = vectors(spark)
     rows = neighbours.usable(df)
     classes = neighbours.classes_of(rows, 11).cache()
-    links = neighbours.near_classes(classes, 11, 0.9, 0.5, shard_rows=20)
+    routed = neighbours.Routed(classes, shard_rows=20)
+    assert routed.shards > 4
+    links = routed.near(11, 0.9, 0.5)
     near = neighbours.near_lists(rows, classes, links, 10)
     pairs = near.select("vec", F.explode("near").alias("n")).where("n.far <= -0.9").select(F.least("vec", "n.id"), F.greatest("vec", "n.id")).distinct()
     assert set(map(tuple, pairs.collect())) == brute_vectors(df, 10, 0.9)[0]
