@@ -118,25 +118,18 @@ class Shard:
         self.back = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # what queries found, for the stored ends
 
     def nearest(self, ids: np.ndarray, raw: np.ndarray, k: int, factor: float, bound: np.ndarray, min_cos: float | None) -> Best:
-        """The k most similar stored vectors of each query, nearest cell first.
+        """The k most similar stored vectors of each query: its own cell first, then the others.
 
-        A query ends when its next cell's border is farther than ``factor`` times its k-th
-        distance, which is ``bound`` until it has k. With ``min_cos`` the query itself is left out.
+        A cell is left out for a query where its border is farther than ``factor`` times the
+        query's k-th distance so far, which is ``bound`` until it has k. With ``min_cos`` the
+        query itself is left out.
         """
         best = Best(self, ids, raw, k, bound, min_cos)
         home, margin = self.node.borders(best.unit)
-        order = np.argsort(margin, axis=1)
-        for turn in range(len(self.cells)):
-            cell = order[:, turn]
-            open_ = np.flatnonzero(margin[np.arange(len(cell)), cell] <= factor * best.bound + 1e-6)
-            if not len(open_):
-                break
-            by = open_[np.argsort(cell[open_], kind="stable")]
-            edges = np.flatnonzero(np.r_[True, cell[by][1:] != cell[by][:-1]])
-            for a, b in zip(edges, [*edges[1:], len(by)]):
-                rows = self.cells[cell[by[a]]]
-                if len(rows):
-                    best.take(by[a:b], rows)
+        for i, rows in enumerate(self.cells):
+            best.take(np.flatnonzero(home == i), rows)
+        for i, rows in enumerate(self.cells):
+            best.take(np.flatnonzero((home != i) & (margin[:, i] <= factor * best.bound + 1e-6)), rows)
         return best
 
 
@@ -149,8 +142,8 @@ class Best:
         self.bound, self.found = bound.astype(np.float64), []
 
     def take(self, q: np.ndarray, rows: np.ndarray) -> None:
-        step = max(1, BLOCK // len(rows))
-        for s in range(0, len(q), step):
+        step = max(1, BLOCK // max(1, len(rows)))
+        for s in range(0, len(q) if len(rows) else 0, step):
             self._take(q[s : s + step], rows)
 
     def _take(self, p: np.ndarray, rows: np.ndarray) -> None:
@@ -363,6 +356,7 @@ def near_lists(rows: DataFrame, classes: DataFrame, links: DataFrame, k: int) ->
     ``links`` may hold a link several times; vectors without any link have no row. Copies
     of a vector are links of cosine one.
     """
+    links = cut(links)  # a row a link: the search runs once whatever the plan below
     entry = F.struct((-F.col("cos")).alias("far"), F.col("b").alias("id"))
     best = links.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(entry)), 1, k + 1).alias("best"))
     many = cut(classes.where(F.size("ids") > 1).select("id", "neg", "v", "ids"))
@@ -375,9 +369,7 @@ def near_lists(rows: DataFrame, classes: DataFrame, links: DataFrame, k: int) ->
     # a class of more copies than its list names has its other rows by its numbers
     more = rows.join(many.where(F.size("ids") > k).select("id", "neg", "v"), ["neg", "v"]).select(F.col("id").alias("a"), "vec")
     few = many.where(F.size("ids") <= k).select(F.col("id").alias("a"), F.explode("ids").alias("vec"))
-    members = more.unionByName(few)
-    single = lists.join(many.select(F.col("id").alias("a")), "a", "left_anti").select(F.col("a").alias("vec"), "near")
-    told = single.unionByName(lists.join(members, "a").select("vec", "near"))
+    told = lists.join(more.unionByName(few), "a", "left").withColumn("vec", F.coalesce("vec", "a"))
     return told.select("vec", F.slice(F.filter("near", lambda x: x["id"] != F.col("vec")), 1, k).alias("near"))
 
 
