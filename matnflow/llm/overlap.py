@@ -1,11 +1,11 @@
 """Problem 5: records of evaluation splits that the training split holds, exactly or almost.
 
-An exact prefix-filter join on rare shingles between the two sides. The evaluation texts
-are cut into chunks of five characters side by side: d edits break at most d of them, so of
-the d + 1 chunks that are rarest in training one occurs whole in every text within d
-edits, moved by d places at most. These chunks are indexed; all five-character shingles
-of the training texts probe the index with length and position filters; what meets is
-verified by edit distance.
+An exact prefix-filter join on rare shingles between the two sides. A training text is cut
+into chunks of five characters side by side: d edits break at most d of them, and what is
+left whole is moved by d places at most. Its prefix, the d + 2 chunks that are rarest in the
+evaluation texts, probes an index of their shingles with length and position filters; a
+pair goes on if so many chunks of the prefix meet as its edits leave, and is verified by
+edit distance.
 """
 
 from __future__ import annotations
@@ -39,22 +39,22 @@ def most_edits(length: Column, share: float) -> Column:
 
 
 def _bucket(length: Column, share: float) -> Column:
-    """Texts that match lie in the same or in neighbouring buckets of length."""
-    return F.floor(F.log(length) / -float(np.log(1 - share)) + 1e-9).cast("int")
+    """Texts that match a length lie in one bucket or in two neighbouring ones."""
+    return F.floor(F.log(length) / (-2 * float(np.log(1 - share))) + 1e-9).cast("int")
 
 
-def shingles(texts: DataFrame) -> DataFrame:
-    """(g, id, n, at): the shingles of (id, n, t) and their places; the end is padded, so that last chunks count."""
+def shingles(texts: DataFrame, step: int) -> DataFrame:
+    """(g, id, n, at): every ``step``-th shingle of (id, n, t) and its place; the end is padded, so that last chunks count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ns, grams, counts = b.column("id").to_numpy(), b.column("n").to_numpy(), [], []
             for t in b.column("t").to_pylist():
                 padded = t + "\0" * (Q - 1)
-                grams += [padded[i : i + Q] for i in range(len(t))]
-                counts.append(len(t))
+                grams += [padded[i : i + Q] for i in range(0, len(t), step)]
+                counts.append(-(-len(t) // step))
             counts = np.array(counts, dtype=np.int64)
-            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = step * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
             cols = [pa.array(grams, pa.string()), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(ns, counts)), pa.array(at.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["g", "id", "n", "at"])
 
@@ -62,58 +62,26 @@ def shingles(texts: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("g").alias("g"), "id", "n", "at")
 
 
-def with_letter_counts(texts: DataFrame) -> DataFrame:
-    """(h1, h2, id, n, t, in_train, in_held) with k0..k3: how often each of 32 groups of characters occurs, a byte a group (255 at most)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = np.zeros((b.num_rows, 32), dtype=np.uint8)
-            for row, t in zip(counts, b.column("t").to_pylist()):
-                codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") & 31
-                row[:] = np.minimum(np.bincount(codes, minlength=32), 255)
-            longs = counts.view("<i8")
-            cols = [b.column(c) for c in ("h1", "h2", "id", "n", "t", "in_train", "in_held")] + [pa.array(longs[:, i]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "id", "n", "t", "in_train", "in_held", "k0", "k1", "k2", "k3"])
-
-    schema = "h1 long, h2 long, id long, n int, t string, in_train boolean, in_held boolean, k0 long, k1 long, k2 long, k3 long"
-    return texts.select("h1", "h2", "id", "n", "t", "in_train", "in_held").mapInArrow(run, schema)
-
-
-def fewest_edits(a: str, b: str) -> Column:
-    """A lower bound of the edit distance: characters that one text has more often, by the packed counts of both."""
-    more, less = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for i in range(4):
-        for byte in range(8):
-            x, y = (F.shiftrightunsigned(f"{side}{i}", 8 * byte).bitwiseAND(255) for side in (a, b))
-            more = more + F.greatest(x - y, F.lit(0))
-            less = less + F.greatest(y - x, F.lit(0))
-    return F.greatest(more, less)
-
-
 def near_texts(train: DataFrame, held: DataFrame, share: float) -> DataFrame:
-    """(a, b): ids of texts (id, n, t, k0..k3) of the two sides within ``share`` of the longer one's characters, by edits."""
-    probes = shingles(train)
-    frequency = probes.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    chunks = shingles(held).where(F.col("at") % Q == 0)
-    # a chunk that training lacks joins nothing, but counts among the rarest
-    ranked = chunks.join(frequency, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    """(a, b): ids of different texts (id, n, t) of the two sides within ``share`` of the longer one's characters, by edits."""
+    index = cut(shingles(held, 1))
+    frequency = index.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    # a chunk that no evaluation text holds joins nothing, but counts among the rarest
+    ranked = shingles(train, Q).join(frequency, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    size = F.least(F.ceil(F.col("n") / Q).cast("int"), most_edits(F.col("n"), share) + 2)
     order = "row_number() OVER (PARTITION BY id ORDER BY df, at)"
-    prefix = ranked.withColumn("rank", F.expr(order)).where(F.col("rank") <= most_edits(F.col("n"), share) + 1)
-    index = prefix.where("df > 0").select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"))
-    # the length bucket in the key splits the lists of frequent shingles
-    index = index.withColumn("bucket", F.explode(F.array(*[_bucket(F.col("nb"), share) + k for k in (-1, 0, 1)])))
-    probes = probes.select("g", _bucket(F.col("n"), share).alias("bucket"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"))
-    edits = F.floor(F.greatest("na", "nb") * share + 1e-9)
+    prefix = ranked.withColumn("size", size).withColumn("rank", F.expr(order)).where("rank <= size AND df > 0")
+    # the bucket of the length in the key splits the lists of frequent shingles
+    reach = F.sequence(_bucket(F.col("n") * (1 - share), share), _bucket(F.col("n") / (1 - share), share))
+    probes = prefix.select("g", F.explode(reach).alias("bucket"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), "size")
+    index = index.select("g", _bucket(F.col("n"), share).alias("bucket"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"))
+    edits = F.floor(F.greatest("na", "nb") * share + 1e-9).cast("int")
     met = probes.join(index, ["g", "bucket"]).where(
-        (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.abs(F.col("at_a") - F.col("at_b")) <= edits)
+        (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.abs(F.col("at_a") - F.col("at_b")) <= edits) & (F.col("a") != F.col("b"))
     )
-    candidates = met.select("a", "b").distinct()
-    counts = [f"k{i}" for i in range(4)]
-    left = train.select("id", "n", *counts).toDF("a", "na", *[f"a{c}" for c in counts])
-    right = held.select("id", "n", *counts).toDF("b", "nb", *[f"b{c}" for c in counts])
-    # the counts of letters rule most of them out; only the rest are joined with their texts
-    counted = candidates.join(left, "a").join(right, "b").withColumn("most", edits.cast("int"))
-    likely = counted.where(fewest_edits("ak", "bk") <= F.col("most")).select("a", "b", "most")
+    # edits break one chunk each: all others of the prefix are met
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max(F.col("size") - edits).alias("whole"), F.max(edits).alias("most"))
+    likely = counted.where("met >= whole").select("a", "b", "most")
     texts = likely.join(train.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     return texts.where(F.expr("levenshtein(ta, tb, most) >= 0")).select("a", "b")
 
@@ -145,7 +113,7 @@ def split_overlaps(records: DataFrame, share: float = 0.15) -> DataFrame:
         F.min("row").alias("id"), F.first("t").alias("t"),
         F.max(F.expr("side = 0")).alias("in_train"), F.max(F.expr("side = 1")).alias("in_held"),
     )
-    classes = cut(with_letter_counts(classed.withColumn("n", F.length("t"))))
+    classes = cut(classed.select("h1", "h2", "id", F.length("t").alias("n"), "t", "in_train", "in_held"))
     train, held = classes.where("in_train"), classes.where("in_held")
     links = near_texts(train, held, share)
     links = links.unionByName(classes.where("in_train AND in_held").select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct()
