@@ -209,17 +209,43 @@ def test_edit_distance_is_a_metric():
         assert vocabulary.edit_distance(a, c) <= vocabulary.edit_distance(a, b) + vocabulary.edit_distance(b, c)
 
 
-def test_tree_finds_all_and_measures_less():
+def test_trees_find_all_and_measure_less():
+    """Every entry within its tolerance, the words in any order, as by trying all orders of all runs."""
+    from itertools import permutations
+
     draw = random.Random(4)
-    entries = list({"".join(draw.choice("abcdef") for _ in range(draw.randint(4, 14))) for _ in range(400)})
-    tree = vocabulary.BKTree((e, len(e) // 5, i) for i, e in enumerate(entries))
-    for _ in range(200):
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 6)))
+    entries = [" ".join(word() for _ in range(draw.randint(1, 3))) for _ in range(300)]
+    matcher = vocabulary.Matcher(list(enumerate(entries)))
+    forms = []
+    for _ in range(150):
         q = list(draw.choice(entries))
-        for _ in range(draw.randint(0, 3)):
-            q[draw.randrange(len(q))] = draw.choice("abcdef")
-        q = "".join(q)
-        assert sorted(i for _, _, i in tree.within(q)) == sorted(i for i, e in enumerate(entries) if vocabulary.edit_distance(q, e) <= len(e) // 5)
-    assert tree.measured < 0.8 * 200 * len(entries)
+        for _ in range(draw.randint(0, 2)):
+            q[draw.randrange(len(q))] = draw.choice("abcdefgh ")
+        words = [*"".join(q).split(), *[word() for _ in range(draw.randint(0, 1))]]
+        draw.shuffle(words)
+        forms.append(" ".join(words))
+    for form, got in zip(forms, matcher.best(forms)):
+        words, best = form.split(), None
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                for order in permutations(words[i:j]):
+                    joined = "".join(order)
+                    for n, e in enumerate(entries):
+                        e = e.replace(" ", "")
+                        most = int(len(e) * 0.2 + 1e-9)
+                        if abs(len(joined) - len(e)) <= most and (d := vocabulary.edit_distance(joined, e)) <= most:
+                            best = min(best or (0, 0, 0), (-len(e), d, n))
+        assert got == (best and (-best[0], best[1], best[2])), form
+    asked = sum(len(matcher.runs(f)) for f in set(forms))
+    assert sum(t.measured for t in matcher.trees.values()) < 0.5 * asked * len(entries)
+
+
+def test_many_words_in_any_order():
+    words = "ab cd ef gh ij kl mn op".split()
+    matcher = vocabulary.Matcher([(1, " ".join(words))])
+    assert matcher.best([" ".join(reversed(words)), "op ab zz mn cd ij ef kl gh", "xx yy"]) == [(16, 0, 1), (16, 2, 1), None]
+    assert matcher.best(["op ab mn cd ij ef kl ga"]) == [(16, 1, 1)]
 
 
 def test_values(spark):
@@ -237,11 +263,16 @@ def test_values(spark):
     assert vocabulary.map_values(df.where(F.lit(False)), labels).count() == 0
 
 
-def test_shards_merge(spark, monkeypatch):
-    monkeypatch.setattr(vocabulary, "SHARD", 2)
+def test_shards_merge(spark):
     labels = spark.createDataFrame([(1, "صحيح"), (2, "حسن"), (3, "حسن صحيح"), (4, "ضعيف جدا"), (5, "منكر المتن")], "grade_id int, label string")
     df = spark.createDataFrame([(1, "حسن صحيح!"), (2, "ضعيف جدا."), (3, "شيء")], "rec_id int, value string")
-    assert {r.rec_id: r.grade_id for r in vocabulary.map_values(df, labels).collect()} == {1: 3, 2: 4, 3: -1}
+    assert {r.rec_id: r.grade_id for r in vocabulary.map_values(df, labels, shard_rows=2).collect()} == {1: 3, 2: 4, 3: -1}
+
+
+def test_values_of_any_script(spark):
+    labels = spark.createDataFrame([(1, "New York"), (2, "São Paulo"), (3, "Αθήνα"), (4, "صحيح")], "grade_id int, label string")
+    df = spark.createDataFrame([(1, "york, NEW"), (2, "Sao-Paulo (BR)"), (3, "αθηνα"), (4, "صحـيح!"), (5, "Paris")], "rec_id int, value string")
+    assert {r.rec_id: r.grade_id for r in vocabulary.map_values(df, labels, script="any").collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: -1}
 
 
 # ---------------------------------------------------------------- problem 5
