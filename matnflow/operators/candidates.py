@@ -1,11 +1,20 @@
-"""Candidate retrieval: an inverted index of character 4-grams, joined and counted."""
+"""Candidate retrieval: an inverted index of character 4-grams.
+
+A corpus of a measured, bounded size is held by every task as sorted arrays, so queries
+are not shuffled; a larger one is joined on its grams and counted. Both give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 4
+HELD_LETTERS = 16_000_000  # letters of a corpus whose index is sent to every task: 12 bytes a letter at most
 
 
 def grams(text: Column | str, n: int = GRAM) -> Column:
@@ -106,3 +115,101 @@ def running_offset(corpus: DataFrame, pos: str = "pos", text: str = "skeleton",
     joined = sized.join(F.broadcast(before), "_part")  # one row a range
     offset = F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
     return joined.withColumn("offset", offset).drop("_part", "_size", "_before")
+
+
+class GramIndex:
+    """The records in which each gram occurs, as sorted arrays: grams, where their lists begin, and the lists."""
+
+    def __init__(self, keys: np.ndarray, texts: list[str]):
+        self.keys = keys
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        self.letters = np.unique(codes)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        gram, at = self._grams(np.searchsorted(self.letters, codes) + 1, sizes)
+        pairs = np.unique(np.stack([gram, at.astype(np.int64)], axis=1), axis=0) if len(gram) else np.zeros((0, 2), np.int64)
+        self.grams, self.begin = np.unique(pairs[:, 0], return_index=True)
+        self.begin = np.r_[self.begin, len(pairs)]
+        self.lists = pairs[:, 1].astype(np.int32)
+        self.sizes = np.bincount(self.lists, minlength=len(keys))
+
+    @staticmethod
+    def _grams(letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(grams as numbers, text of each): of texts whose letters, as numbers below 2**15, stand in a row."""
+        n = len(letters) - GRAM + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        gram = np.zeros(n, dtype=np.int64)
+        for k in range(GRAM):
+            gram = gram << 15 | letters[k : n + k]
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        inside = text[:n] == text[GRAM - 1 : n + GRAM - 1]
+        return gram[inside], text[:n][inside]
+
+    def near(self, text: str, least: int, k: int | None, part: float) -> tuple[np.ndarray, np.ndarray]:
+        """(records, shared grams), the best ``k`` first: by shared grams, the earliest of them, and the key."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        place = np.minimum(np.searchsorted(self.letters, codes), max(len(self.letters) - 1, 0))
+        known = np.where(self.letters[place] == codes, place + 1, 0) if len(self.letters) else np.zeros(len(codes), np.int64)
+        gram, first = np.unique(self._grams(known, np.array([len(codes)]))[0], return_index=True)
+        if k is None:
+            every = len({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
+        at = np.minimum(np.searchsorted(self.grams, gram), max(len(self.grams) - 1, 0))
+        ok = self.grams[at] == gram if len(self.grams) else np.zeros(len(gram), bool)
+        order = np.argsort(first[ok])
+        at, first = at[ok][order], first[ok][order]
+        many = self.begin[at + 1] - self.begin[at]
+        met = self.lists[np.repeat(self.begin[at] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        counts = np.bincount(met, minlength=len(self.keys))
+        found = np.flatnonzero(counts >= max(least, 1))
+        if part:
+            found = found[counts[found] >= part * np.minimum(self.sizes[found], every)]
+        n = counts[found]
+        if k is not None and len(found) > k:
+            cut = np.partition(n, len(n) - k)[len(n) - k]
+            found, n = found[n >= cut], n[n >= cut]
+        earliest = np.zeros(len(self.keys), dtype=np.int64)
+        earliest[met[::-1]] = np.repeat(first, many)[::-1]  # the last write, the first gram, stays
+        best = np.lexsort((self.keys[found], earliest[found], -n))[:k]
+        return found[best], n[best]
+
+
+def retrieve(
+    queries: DataFrame, corpus: DataFrame, least: int, k: int | None, part: float = 0.0, held_letters: int = HELD_LETTERS,
+    query: str = "query", key: str = "pos", text: str = "skeleton",
+) -> DataFrame:
+    """(query, key, n, rank): per query the ``k`` records with most shared grams, ``least`` at least.
+
+    Ties go to the record met by the earliest gram of the query, then to the smaller key.
+    With ``k`` null all such records come, of those that share ``part`` of the grams of the
+    text that has fewer; rank is then null.
+    """
+    rows = corpus.where(F.length(text) >= GRAM).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    kind, target = queries.schema[query].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
+    if size <= held_letters:
+        told = rows.toArrow()  # held_letters at most
+        spark = queries.sparkSession
+        held = spark.sparkContext.broadcast(GramIndex(told.column("key").to_numpy(), told.column("text").to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = held.value
+            for b in batches:
+                found = [index.near(t, least, k, part) for t in b.column("text").to_pylist()]
+                many = np.array([len(f) for f, _ in found], dtype=np.int64)
+                at = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.int64)
+                n = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
+                rank = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + 1
+                asked = b.column("query").take(pa.array(np.repeat(np.arange(len(many)), many)))
+                cols = [asked, pa.array(index.keys[at]), pa.array(n.astype(np.int64)), pa.array(rank.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["query", "key", "n", "rank"])
+
+        asked = queries.where(F.length(text) >= GRAM).select(F.col(query).alias("query"), F.col(text).alias("text"))
+        found = asked.mapInArrow(run, f"query {kind}, key long, n long, rank int")
+        rank = F.col("rank") if k is not None else F.lit(None).cast("int").alias("rank")
+        return found.select(F.col("query").alias(query), F.col("key").cast(target).alias(key), "n", rank)
+    counted = shared_grams(queries, inverted_index(corpus, key, text), query, key, text)
+    if k is not None:
+        return top_candidates(counted, least, k, query, key).select(query, key, "n", "rank")
+    sizes = [df.select(c, F.size(grams(text)).alias(n)) for df, c, n in ((queries, query, "_q"), (corpus, key, "_c"))]
+    likely = counted.where(F.col("n") >= least).join(sizes[0], query).join(sizes[1], key)
+    return likely.where(F.col("n") >= part * F.least("_q", "_c")).select(query, key, "n", F.lit(None).cast("int").alias("rank"))

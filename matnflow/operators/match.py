@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import containment, containment_udf, locate, once, partial_alignment, partial_ratio, partial_ratio_udf
+from ..functions.kernels import containment, containment_udf, containments, locate_many, once, partial_alignments, partial_ratio_udf
 from ..functions.normalize import skeleton
 from ..profiles import EXTENSION, MIN_LETTERS, REPORT_CANDIDATES, REPORT_LEAST, SERVICE, VERSE_CANDIDATES, VERSE_LEAST, Profile
 from ..session import cut, keep_apart
-from .candidates import inverted_index, neighbours, shared_grams, top_candidates, with_extras
+from .candidates import neighbours, retrieve, with_extras
+from .vectors import top_k
 
 LEAST_VERSE = 10  # letters from which a whole verse is looked for inside a quote
 GROWING = 0.9  # similarity from which a whole verse is grown
@@ -35,24 +39,26 @@ def covered(start: int, end: int, lengths: list[int]) -> tuple[int, int] | None:
     return (hit[0], hit[-1]) if hit else None
 
 
-def align_in_window(q: str, window: list[dict]) -> dict | None:
-    """The quote aligned in the joined window; similarity and the positions that it covers."""
-    distance, start, end = locate(q, "".join(w["skeleton"] for w in window))
-    span = covered(start, end, [len(w["skeleton"]) for w in window])
-    return span and {"similarity": 1 - distance / len(q), "first": window[span[0]]["pos"], "last": window[span[1]]["pos"]}
+def align_in_windows(queries: list[str], windows: list[list[dict]]) -> list[dict | None]:
+    """Each quote aligned in its joined window; similarity and the positions that it covers."""
+    distance, start, end = locate_many(queries, ["".join(w["skeleton"] for w in window) for window in windows])
+    out = []
+    for q, window, d, a, b in zip(queries, windows, distance.tolist(), start.tolist(), end.tolist()):
+        span = covered(a, b, [len(w["skeleton"]) for w in window])
+        out.append(span and {"similarity": 1 - d / len(q), "first": window[span[0]]["pos"], "last": window[span[1]]["pos"]})
+    return out
 
 
-def align_in_window_service(q: str, window: list[dict]) -> dict | None:
+def align_in_windows_service(queries: list[str], windows: list[list[dict]]) -> list[dict | None]:
     """The service profile: indel alignment, scored anew on the covered verses alone."""
-    joined = "".join(w["skeleton"] for w in window)
-    _, start, end = partial_alignment(q, joined)
-    if len(q) > len(joined):
-        start, end = 0, len(joined)
-    span = covered(start, end, [len(w["skeleton"]) for w in window])
-    if not span:
-        return None
-    part = "".join(w["skeleton"] for w in window[span[0] : span[1] + 1])
-    return {"similarity": partial_ratio(q, part), "first": window[span[0]]["pos"], "last": window[span[1]]["pos"]}
+    joined = ["".join(w["skeleton"] for w in window) for window in windows]
+    spans = []
+    for q, text, window, (_, start, end) in zip(queries, joined, windows, partial_alignments(queries, joined)):
+        start, end = (0, len(text)) if len(q) > len(text) else (start, end)
+        spans.append(covered(start, end, [len(w["skeleton"]) for w in window]))
+    parts = ["".join(w["skeleton"] for w in window[s[0] : s[1] + 1]) if s else "" for s, window in zip(spans, windows)]
+    ratios = partial_alignments(queries, parts)
+    return [s and {"similarity": r, "first": window[s[0]]["pos"], "last": window[s[1]]["pos"]} for s, (r, _, _), window in zip(spans, ratios, windows)]
 
 
 def grow(q: str, center: int, similarity: float, pieces: dict[int, str], low: float, high: float) -> dict:
@@ -77,17 +83,21 @@ def grow(q: str, center: int, similarity: float, pieces: dict[int, str], low: fl
             return {"similarity": similarity, "first": first, "last": last, "edge": False}
 
 
-def spans_at(q: str, center: int, window: list[dict]) -> dict:
-    """Both spans of a candidate: the quote in its window, and the verse in the quote (if it is long enough) as far as the window shows."""
-    own = next(w for w in window if w["pos"] == center)
-    whole = None
-    if len(own["skeleton"]) >= LEAST_VERSE:
-        similarity = containment(own["skeleton"], q)
-        whole = {"similarity": similarity, "first": center, "last": center, "edge": False}
-        if similarity >= GROWING:
-            pieces = {w["pos"]: w["skeleton"] for w in window if w["sura"] == own["sura"]}
-            whole = grow(q, center, similarity, pieces, center - 2, center + 3)
-    return {"inside": align_in_window(q, window), "whole": whole}
+def spans_at(queries: list[str], centers: list[int], windows: list[list[dict]]) -> list[dict]:
+    """Both spans of each candidate: the quote in its window, and the verse in the quote (if it is long enough) as far as the window shows."""
+    inside = align_in_windows(queries, windows)
+    own = [next(w for w in window if w["pos"] == center) for window, center in zip(windows, centers)]
+    held = containments([o["skeleton"] for o in own], queries).tolist()
+    out = []
+    for q, center, window, o, similarity, span in zip(queries, centers, windows, own, held, inside):
+        whole = None
+        if len(o["skeleton"]) >= LEAST_VERSE:
+            whole = {"similarity": similarity, "first": center, "last": center, "edge": False}
+            if similarity >= GROWING:
+                pieces = {w["pos"]: w["skeleton"] for w in window if w["sura"] == o["sura"]}
+                whole = grow(q, center, similarity, pieces, center - 2, center + 3)
+        out.append({"inside": span, "whole": whole})
+    return out
 
 
 def grow_within(q: str, center: int, reach: int | None, around: list[dict]) -> dict:
@@ -104,37 +114,30 @@ def _arrow_struct(kind: T.StructType) -> pa.DataType:
     return pa.struct([(f.name, _arrow_struct(f.dataType) if isinstance(f.dataType, T.StructType) else _ARROW[type(f.dataType)]) for f in kind.fields])
 
 
-def _rows3(kernel, kind):
-    def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        return pa.array([kernel(*r) for r in zip(a.to_pylist(), b.to_pylist(), c.to_pylist())], _arrow_struct(kind))
-
-    return once(F.arrow_udf(run, kind))
-
-
-def _rows4(kernel, kind):
-    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        return pa.array([kernel(*r) for r in zip(a.to_pylist(), b.to_pylist(), c.to_pylist(), d.to_pylist())], _arrow_struct(kind))
+def _arrow_rows(kernel, kind: T.StructType, columns: int):
+    """An Arrow function of a kernel over whole columns."""
 
-    return once(F.arrow_udf(run, kind))
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(kernel(a.to_pylist(), b.to_pylist()), _arrow_struct(kind))
 
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array(kernel(a.to_pylist(), b.to_pylist(), c.to_pylist()), _arrow_struct(kind))
 
-def _rows2(kernel, kind):
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([kernel(*r) for r in zip(a.to_pylist(), b.to_pylist())], _arrow_struct(kind))
+    def four(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        return pa.array(kernel(a.to_pylist(), b.to_pylist(), c.to_pylist(), d.to_pylist()), _arrow_struct(kind))
 
-    return once(F.arrow_udf(run, kind))
+    return once(F.arrow_udf({2: two, 3: three, 4: four}[columns], kind))
 
 
 BOTH = T.StructType([T.StructField("inside", SPAN), T.StructField("whole", GROWN)])
-align_service_udf = _rows2(align_in_window_service, SPAN)
-spans_udf = _rows3(spans_at, BOTH)
-grow_udf = _rows4(grow_within, GROWN)
+align_service_udf = _arrow_rows(align_in_windows_service, SPAN, 2)
+spans_udf = _arrow_rows(spans_at, BOTH, 3)
+grow_udf = _arrow_rows(lambda *columns: [grow_within(*r) for r in zip(*columns)], GROWN, 4)
 
 
 def verse_candidates(queries: DataFrame, corpus: DataFrame, extras: DataFrame | None = None) -> DataFrame:
     """J1-J5 for verses: (query, pos, rank)."""
-    counted = shared_grams(queries, inverted_index(corpus))
-    found = top_candidates(counted, VERSE_LEAST, VERSE_CANDIDATES).select("query", "pos", "rank")
+    found = retrieve(queries, corpus, VERSE_LEAST, VERSE_CANDIDATES).select("query", "pos", "rank")
     return with_extras(found, extras, corpus) if extras is not None else found
 
 
@@ -196,7 +199,7 @@ def search_verses(queries: DataFrame, corpus: DataFrame, extras: DataFrame | Non
 def report_candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """J1-J4 for reports: (query, pos, rank) with both skeletons as q and s."""
     asked = queries.where(F.length("skeleton") >= MIN_LETTERS).select("query", "skeleton")
-    found = top_candidates(shared_grams(asked, inverted_index(corpus)), REPORT_LEAST, REPORT_CANDIDATES)
+    found = retrieve(asked, corpus, REPORT_LEAST, REPORT_CANDIDATES)
     found = keep_apart(found.join(asked.withColumnRenamed("skeleton", "q"), "query"), "pos")
     return found.join(corpus.select("pos", F.col("skeleton").alias("s")), "pos").select("query", "pos", "rank", "q", "s")
 
@@ -219,6 +222,64 @@ def score_at(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, profile: P
     return joined.withColumn("similarity", (partial_ratio_udf if profile.within_sura else containment_udf)("q", "s")).drop("q", "s")
 
 
+@dataclass
+class Meaning:
+    """Vectors as an optional second source of candidates (E5-E9); without them every search is by wording alone.
+
+    ``embed`` gives the vector of a text (a column expression of a text column, such as a
+    ``predict_batch_udf``); verses and reports: (pos, vector) of the corpora.
+    """
+
+    embed: Callable[[Column], Column]
+    verses: DataFrame | None = None
+    reports: DataFrame | None = None
+    k: int = 10
+
+    def near(self, texts: DataFrame, vectors: DataFrame) -> DataFrame:
+        """(query, pos, score, rank) of texts (query, text): the k nearest records of each."""
+        asked = texts.select("query", self.embed(F.col("text")).alias("vector"))
+        return top_k(asked, vectors, self.k)
+
+
+def search_verses_by_meaning(asked: DataFrame, corpus: DataFrame, meaning: Meaning | None, profile: Profile = EXTENSION) -> DataFrame:
+    """``search_verses`` of asked (query, skeleton, text, verse_like), helped by vectors where they can matter.
+
+    Extension profile: quotes framed as verses, and near misses, that wording alone leaves
+    below the close threshold are searched again with the nearest verses as candidates.
+    Service profile: the nearest verses are candidates of every search.
+    """
+    slim = asked.select("query", "skeleton")
+    if meaning is None or meaning.verses is None:
+        return search_verses(slim, corpus, profile=profile)
+    if profile.semantic_always:
+        near = cut(meaning.near(asked.where(F.length("skeleton") >= MIN_LETTERS), meaning.verses))
+        return verse_gate(search_verses(slim, corpus, near, profile), near, profile)
+    hits = cut(search_verses(slim, corpus, profile=profile))
+    known = asked.join(hits.select("query", F.col("similarity").alias("s")), "query", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    open_ = known.where((F.col("s") < profile.verse_close) & (F.col("verse_like") | (F.col("s") >= profile.semantic_floor)))
+    near = cut(meaning.near(open_, meaning.verses))
+    again = search_verses(slim.join(near.select("query").distinct(), "query", "left_semi"), corpus, near, profile)
+    better = again.join(open_.select("query", "s"), "query").where(F.col("similarity") >= F.col("s")).drop("s")
+    better = cut(better)
+    return verse_gate(hits.join(better.select("query"), "query", "left_anti").unionByName(better), near, profile)
+
+
+def search_reports_by_meaning(asked: DataFrame, corpus: DataFrame, meaning: Meaning | None, profile: Profile = EXTENSION) -> DataFrame:
+    """``search_reports`` of asked (query, skeleton, text, report_like), helped by vectors where no report is close.
+
+    Extension profile: only texts framed as reports.
+    """
+    slim = asked.select("query", "skeleton")
+    hits = search_reports(slim, corpus, profile)
+    if meaning is None or meaning.reports is None:
+        return hits
+    hits = cut(hits)
+    framed = asked if profile.semantic_always else asked.where("report_like")
+    close = hits.where(F.col("similarity") >= profile.report_close).select("query")
+    near = cut(meaning.near(framed.where(F.length("skeleton") >= MIN_LETTERS).join(close, "query", "left_anti"), meaning.reports))
+    return report_gate(slim, hits, near, corpus, profile)
+
+
 def verse_gate(hits: DataFrame, near: DataFrame, profile: Profile = EXTENSION) -> DataFrame:
     """Hits lifted to the close threshold where a vector inside their span is near and the wording shares the floor.
 

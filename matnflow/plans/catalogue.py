@@ -16,16 +16,17 @@ from ..functions import kernels as kn
 from ..functions import normalize as nm
 from ..operators import candidates as cd
 from ..operators import evaluation as ev
+from ..operators import labels as lb
 from ..operators import match as mt
 from ..operators import rulings as rl
 from ..operators import vectors as vc
 from ..operators import verdicts as vd
-from ..profiles import EXTENSION, SERVICE
-from ..session import spread, table
+from ..profiles import SERVICE
+from ..session import keep_apart, spread, table
 from ..sources import corpora as cp
 from ..sources import pages as pg
 from ..streaming import feed as st
-from .pipeline import check_posts, verify_texts
+from .pipeline import check_posts, distinct_texts, verify_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -181,9 +182,12 @@ def norm_too_short(spark, d):
     return table(spark, d, "evaluate").select("row_id", nm.too_short("text").alias("short"))
 
 
-@query("SELECT rec_id, 'سورة ' || sura || ' · الآية ' || aya AS label FROM ayat")
+_NAME = "coalesce((" + repr(lb.SURAS) + ")[sura], sura::VARCHAR)"
+
+
+@query(f"SELECT rec_id, 'سورة ' || {_NAME} || ' · الآية ' || aya AS label, 'https://quranenc.com/ar/browse/english_saheeh/' || sura || '#' || aya AS url FROM ayat")
 def norm_verse_label(spark, d):
-    return table(spark, d, "ayat").select("rec_id", vd.verse_label("sura", "aya", "aya").alias("label"))
+    return table(spark, d, "ayat").select("rec_id", lb.verse_label("sura", "aya", "aya").alias("label"), lb.verse_url("sura", "aya").alias("url"))
 
 
 # ---------------------------------------------------------------- fragments
@@ -254,7 +258,7 @@ _ENDS = r"regexp_replace({0}, '^[\s\x{{a0}}\x{{85}}\x{{1680}}\x{{2000}}-\x{{200a
     "kept AS (SELECT *, row_number() OVER (PARTITION BY post_id, form ORDER BY no) AS k FROM formed WHERE length(translate(form, 'ا ', '')) >= 12) "
     f"SELECT post_id, fragment, form, len(list_filter({fr.REPORT_MARKERS!r}, lambda m: contains({s_fold('post')}, m))) > 0 "
     f"AND (list_contains(marked, fragment) OR len(list_filter({fr.REPORT_MARKERS!r}, lambda m: contains(form, m))) > 0) AS report_like, "
-    f"len(list_filter({fr.VERSE_MARKERS!r}, lambda m: contains({s_fold('post')}, m))) > 0 OR contains(fragment, '﴿') AS verse_like FROM kept WHERE k = 1"
+    f"len(list_filter({fr.VERSE_MARKERS!r}, lambda m: contains({s_fold('post')}, m))) > 0 OR contains(post, '﴿') AS verse_like FROM kept WHERE k = 1"
 )
 def frag_fragments(spark, d):
     return fr.fragments(spread(table(spark, d, "dorar_hadith").select("rec_id", "text")), "rec_id").drop("frag_no")
@@ -271,9 +275,9 @@ def _reports(spark, d):
     return mt.with_skeleton(table(spark, d, "enc_hadith").select("pos", "id", "text", "grade", "attribution"))
 
 
-def _asked(spark, d, source: str):
-    rows = table(spark, d, "evaluate").where(F.col("source") == source).select(F.col("row_id").alias("query"), "text")
-    return mt.with_skeleton(rows).select("query", "skeleton")
+def _asked(spark, d):
+    """Every text of evaluate."""
+    return mt.with_skeleton(table(spark, d, "evaluate").select(F.col("row_id").alias("query"), "text")).select("query", "skeleton")
 
 
 _GRAMS = "SELECT DISTINCT {key}, substr(s, i, 4) AS gram FROM (SELECT {key}, s, unnest(range(1, length(s) - 2)) AS i FROM ({source}))"
@@ -288,8 +292,8 @@ def cand_index_df(spark, d):
     return cd.inverted_index(_verses(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _topk_sql(source: str, corpus: str, least: int, k: int) -> str:
-    asked = f"SELECT row_id AS query, coalesce({s_skeleton('text')}, '') AS s FROM evaluate WHERE source = '{source}'"
+def _topk_sql(corpus: str, least: int, k: int) -> str:
+    asked = f"SELECT row_id AS query, coalesce({s_skeleton('text')}, '') AS s FROM evaluate"
     held = f"SELECT pos, coalesce({s_skeleton('text')}, '') AS s FROM {corpus}"
     return (
         f"WITH q AS (SELECT query, substr(s, i, 4) AS gram, min(i) AS place FROM (SELECT query, s, unnest(range(1, length(s) - 2)) AS i FROM ({asked}) WHERE length(s) >= 12) GROUP BY ALL), "
@@ -300,18 +304,16 @@ def _topk_sql(source: str, corpus: str, least: int, k: int) -> str:
     )
 
 
-@query(_topk_sql("quran", "ayat", 2, 15))
+@query(_topk_sql("ayat", 2, 15))
 def cand_verse_topk(spark, d):
-    asked = _asked(spark, d, "quran").where("length(skeleton) >= 12")
-    counted = cd.shared_grams(asked, cd.inverted_index(_verses(spark, d)))
-    return cd.top_candidates(counted, 2, 15).select("query", "pos", "n", "rank")
+    asked = spread(_asked(spark, d)).where("length(skeleton) >= 12")
+    return cd.retrieve(asked, _verses(spark, d), 2, 15)
 
 
-@query(_topk_sql("hadith", "enc_hadith", 3, 10))
+@query(_topk_sql("enc_hadith", 3, 10))
 def cand_report_topk(spark, d):
-    asked = _asked(spark, d, "hadith").where("length(skeleton) >= 12")
-    counted = cd.shared_grams(asked, cd.inverted_index(_reports(spark, d)))
-    return cd.top_candidates(counted, 3, 10).select("query", "pos", "n", "rank")
+    asked = spread(_asked(spark, d)).where("length(skeleton) >= 12")
+    return cd.retrieve(asked, _reports(spark, d), 3, 10)
 
 
 @query(
@@ -393,27 +395,35 @@ def kern_sequence_ratio(spark, d):
     return _read_pairs(spark, d).select("row_id", F.round(kn.sequence_ratio_udf("a", "b"), 9).alias("ratio"))
 
 
+def _once(spark, d, form, search):
+    """``search`` of the distinct forms of evaluate's texts, told for every row."""
+    rows = table(spark, d, "evaluate").select(F.col("row_id").alias("row"), F.coalesce(form("text"), F.lit("")).alias("skeleton"))
+    texts, rows = distinct_texts(rows, "skeleton")
+    hits = search(keep_apart(texts, "query"))
+    return rows.select("row", "query").join(hits, "query").drop("query").withColumnRenamed("row", "query")
+
+
 @query()
 def find_verses(spark, d):
-    hits = mt.search_verses(spread(_asked(spark, d, "quran")), _verses(spark, d))
+    hits = _once(spark, d, nm.skeleton, lambda asked: mt.search_verses(asked, _verses(spark, d)))
     return hits.select("query", F.round("similarity", 9).alias("similarity"), "first", "last", F.size("also_at").alias("elsewhere"))
 
 
 @query()
 def find_verses_service(spark, d):
-    hits = mt.search_verses(spread(_asked(spark, d, "quran")), _verses(spark, d), profile=SERVICE)
+    hits = _once(spark, d, nm.skeleton, lambda asked: mt.search_verses(asked, _verses(spark, d), profile=SERVICE))
     return hits.select("query", F.round("similarity", 9).alias("similarity"), "first", "last")
 
 
 @query()
 def find_reports(spark, d):
-    hits = mt.search_reports(spread(_asked(spark, d, "hadith")), _reports(spark, d))
+    hits = _once(spark, d, lambda t: nm.skeleton(fr.strip_framing(t)), lambda asked: mt.search_reports(asked, _reports(spark, d)))
     return hits.select("query", "pos", F.round("similarity", 9).alias("similarity"))
 
 
 @query()
 def find_reports_service(spark, d):
-    hits = mt.search_reports(spread(_asked(spark, d, "hadith")), _reports(spark, d), SERVICE)
+    hits = _once(spark, d, lambda t: nm.skeleton(fr.strip_framing_service(t)), lambda asked: mt.search_reports(asked, _reports(spark, d), SERVICE))
     return hits.select("query", "pos", F.round("similarity", 9).alias("similarity"))
 
 
@@ -485,20 +495,20 @@ def _records(spark, d):
     return table(spark, d, "dorar_hadith").select(F.col("rec_id").alias("ord"), "text", "scholar", "ruling", "book", "page_or_number")
 
 
-def _lookup(spark, d, share):
-    """Reports with every ruling record that is close to them."""
+def _lookup(spark, d):
+    """Reports with the ruling records that a lookup finds."""
     reports = table(spark, d, "enc_hadith").select(F.col("rec_id").alias("query"), F.col("text").alias("text_q"))
-    return rl.local_rulings(reports, _records(spark, d), share)
+    return rl.local_rulings(reports, _records(spark, d))
 
 
 @query()
 def rul_check(spark, d):
-    return rl.check_rulings(_lookup(spark, d, EXTENSION.ruling_same)).select("query", "kind", F.round("similarity", 9).alias("similarity"), F.size("rulings").alias("rulings"))
+    return rl.check_rulings(_lookup(spark, d)).select("query", "kind", F.round("similarity", 9).alias("similarity"), F.size("rulings").alias("rulings"))
 
 
 @query()
 def rul_check_service(spark, d):
-    return rl.check_rulings_service(_lookup(spark, d, rl.SERVICE_FLOOR)).select("query", "kind", "confidence", F.round("similarity", 9).alias("similarity"), "rulings")
+    return rl.check_rulings_service(_lookup(spark, d)).select("query", "kind", "confidence", F.round("similarity", 9).alias("similarity"), "rulings")
 
 
 # ---------------------------------------------------------------- vectors
