@@ -157,11 +157,11 @@ def verse_spans(queries: DataFrame, corpus: DataFrame, extras: DataFrame | None
     """
     asked = queries.where(F.length("skeleton") >= MIN_LETTERS).select("query", F.col("skeleton"))
     found = verse_candidates(asked, corpus, extras).join(asked.withColumnRenamed("skeleton", "q"), "query")
-    found = keep_apart(found, "pos")
+    found = keep_apart(found, "pos")  # merge joins keep these tasks; a broadcast of this side would leave the kernel to few
     if profile.within_sura:
-        inside = found.join(neighbours(corpus, same="sura"), "pos").withColumn("span", align_service_udf("q", "window")).where("span IS NOT NULL")
+        inside = found.join(neighbours(corpus, same="sura").hint("merge"), "pos").withColumn("span", align_service_udf("q", "window")).where("span IS NOT NULL")
         return inside.select("query", "pos", "rank", F.lit(0).alias("kind"), "span.similarity", "span.first", "span.last")
-    scored = found.join(neighbours(corpus, carry="sura"), "pos").withColumn("s", spans_udf("q", "pos", "window"))
+    scored = found.join(neighbours(corpus, carry="sura").hint("merge"), "pos").withColumn("s", spans_udf("q", "pos", "window"))
     scored = cut(scored.select("query", "pos", "rank", "s"))  # read three times, aligned once
     inside = scored.where("s.inside IS NOT NULL").select("query", "pos", "rank", F.lit(0).alias("kind"), "s.inside.*")
     whole = scored.where("s.whole IS NOT NULL AND NOT s.whole.edge").select("query", "pos", "rank", F.lit(1).alias("kind"), "s.whole.similarity", "s.whole.first", "s.whole.last")
@@ -201,7 +201,7 @@ def report_candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     asked = queries.where(F.length("skeleton") >= MIN_LETTERS).select("query", "skeleton")
     found = retrieve(asked, corpus, REPORT_LEAST, REPORT_CANDIDATES)
     found = keep_apart(found.join(asked.withColumnRenamed("skeleton", "q"), "query"), "pos")
-    return found.join(corpus.select("pos", F.col("skeleton").alias("s")), "pos").select("query", "pos", "rank", "q", "s")
+    return found.join(corpus.select("pos", F.col("skeleton").alias("s")).hint("merge"), "pos").select("query", "pos", "rank", "q", "s")
 
 
 def search_reports(queries: DataFrame, corpus: DataFrame, profile: Profile = EXTENSION) -> DataFrame:
