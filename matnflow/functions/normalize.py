@@ -87,6 +87,11 @@ def tidy_lines(text: Column | str, latin: bool = False) -> Column:
     return F.array_join(F.filter(lines, lambda x: F.length(F.regexp_replace(x, keep, "")) >= 3), "\n")
 
 
+def join_lines(text: Column | str) -> Column:
+    """The tidy lines of a reading as one text, so that a quote may run over lines."""
+    return F.replace(tidy_lines(text), F.lit("\n"), F.lit(" "))
+
+
 def strip_tags(html: Column | str) -> Column:
     """Text of an HTML snippet."""
     t = F.regexp_replace(_c(html), r"(?i)<br\s*/?>", " ")

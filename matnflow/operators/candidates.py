@@ -126,10 +126,10 @@ class GramIndex:
         self.letters = np.unique(codes)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         gram, at = self._grams(np.searchsorted(self.letters, codes) + 1, sizes)
-        pairs = np.unique(np.stack([gram, at.astype(np.int64)], axis=1), axis=0) if len(gram) else np.zeros((0, 2), np.int64)
-        self.grams, self.begin = np.unique(pairs[:, 0], return_index=True)
-        self.begin = np.r_[self.begin, len(pairs)]
-        self.lists = pairs[:, 1].astype(np.int32)
+        self.grams, number = np.unique(gram, return_inverse=True)
+        pairs = np.unique(number.astype(np.int64) * max(len(texts), 1) + at)
+        self.begin = np.searchsorted(pairs, np.arange(len(self.grams) + 1) * max(len(texts), 1))
+        self.lists = (pairs % max(len(texts), 1)).astype(np.int32)
         self.sizes = np.bincount(self.lists, minlength=len(keys))
 
     @staticmethod

@@ -22,7 +22,7 @@ from ..operators import rulings as rl
 from ..operators import vectors as vc
 from ..operators import verdicts as vd
 from ..profiles import SERVICE
-from ..session import keep_apart, spread, table
+from ..session import keep_apart, scratch, spread, table
 from ..sources import corpora as cp
 from ..sources import pages as pg
 from ..streaming import feed as st
@@ -374,13 +374,34 @@ def _read_pairs(spark, d):
     return t.select("row_id", nm.skeleton("text").alias("a"), nm.skeleton("ocr").alias("b"))
 
 
-@query()
+def s_nearest(pattern: str, text: str) -> str:
+    """[distance, end] of the substring of ``text`` nearest to ``pattern``: the table of distances, a row a letter of the text."""
+    inner = (
+        f"list_reduce(list_transform(range(1, length({pattern}) + 1), lambda i: [i]), lambda row, i: list_append(row, "
+        f"least(acc[i[1]] + ({pattern}[i[1]] <> {text}[j[1]])::BIGINT, row[-1] + 1, acc[i[1] + 1] + 1)), [0::BIGINT])"
+    )
+    step = f"list_transform([{inner}], lambda r: list_concat(r, [least(acc[-2], r[-1]), CASE WHEN r[-1] < acc[-2] THEN j[1] ELSE acc[-1] END]))[1]"
+    start = f"list_concat(range(0, length({pattern}) + 1), [length({pattern}), 0])"
+    return f"list_reduce(list_transform(range(1, length({text}) + 1), lambda j: [j]), lambda acc, j: {step}, {start})[-2:]"
+
+
+_PAIRS = f"SELECT row_id, {s_skeleton('text')} AS a, {s_skeleton('ocr')} AS b FROM evaluate WHERE text IS NOT NULL AND ocr IS NOT NULL"
+_SHARE = "CASE WHEN length({p}) = 0 THEN 0.0 ELSE greatest(0.0, 1 - {d} / length({p})) END"
+
+
+@query(
+    f"SELECT row_id, round({_SHARE.format(p='b', d='n[1]')}, 9) AS contained, round(CASE WHEN a = '' OR b = '' THEN 0.0 ELSE {_SHARE.format(p='s', d='e[1]')} END, 9) AS either FROM "
+    f"(SELECT *, {s_nearest('b', 'a')} AS n, {s_nearest('s', 'l')} AS e FROM (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM ({_PAIRS})))"
+)
 def kern_containment(spark, d):
     pairs = _read_pairs(spark, d)
     return pairs.select("row_id", F.round(kn.containment_udf("b", "a"), 9).alias("contained"), F.round(kn.either_containment_udf("a", "b"), 9).alias("either"))
 
 
-@query()
+@query(
+    f"SELECT row_id, n[1]::INTEGER AS distance, (n[2] - {s_nearest('rb', 'ra')}[2])::INTEGER AS \"start\", n[2]::INTEGER AS \"end\" FROM "
+    f"(SELECT *, reverse(b) AS rb, reverse(substr(a, 1, n[2])) AS ra FROM (SELECT *, {s_nearest('b', 'a')} AS n FROM ({_PAIRS})))"
+)
 def kern_locate(spark, d):
     return _read_pairs(spark, d).select("row_id", kn.locate_udf("b", "a").alias("at")).select("row_id", "at.*")
 
@@ -539,7 +560,11 @@ def vec_top_k(spark, d):
     return found.select("query", "pos", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    "WITH v AS (SELECT vec_id, list_transform(data, lambda x: x::DOUBLE * scales::DOUBLE) AS e FROM vectors WHERE scales IS NOT NULL AND data IS NOT NULL AND NOT list_contains(list_transform(data, lambda x: x IS NULL), true)), "
+    "s AS (SELECT a.vec_id AS query, b.vec_id AS pos, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0) "
+    "SELECT query, pos, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos)::INTEGER AS rank FROM s QUALIFY rank <= 10"
+)
 def vec_top_k_quantised(spark, d):
     t = table(spark, d, "vectors").where("scales IS NOT NULL AND data IS NOT NULL").select("vec_id", vc.dequantise("scales", "data").alias("vector"))
     found = vc.top_k(t.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query"), spread(t.withColumnRenamed("vec_id", "pos")))
@@ -665,7 +690,13 @@ def verify_all(spark, d):
     return out.select("query", "status", "origin", "kind", "confidence", F.round("similarity", 9).alias("similarity"))
 
 
-@query()
+_FILLED = (
+    "list_reduce(list_filter(regexp_split_to_array(text, '" + _SPACE + "'), lambda w: w <> ''), lambda acc, w: concat(acc, "
+    "CASE WHEN length(string_split(acc, chr(10))[-1]) + 1 + length(w) <= 40 THEN ' ' ELSE chr(10) END, w))"
+)
+
+
+@query(f"SELECT row_id, unnest(string_split({_FILLED}, chr(10))) AS line FROM evaluate WHERE regexp_replace(text, '{_SPACE}', '', 'g') <> ''")
 def frag_wrap(spark, d):
     return table(spark, d, "evaluate").select("row_id", F.explode(nm.wrap("text")).alias("line"))
 
@@ -691,11 +722,7 @@ def page_posts(spark, d):
 @query()
 def stream_check(spark, d):
     """The rulings as a feed: each record once, those with enough letters, classed in micro-batches."""
-    import uuid
-
-    from ..session import shared_dir
-
-    base = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    base = scratch(spark)
     source = table(spark, d, "dorar_hadith")
     # the stream reads a directory of files, whatever form the table has
     source.select("rec_id", "text", "ruling").write.parquet(f"{base}/in")

@@ -51,12 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     executor is lost. The tables are removed when the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matnflow-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/matnflow-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:

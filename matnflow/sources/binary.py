@@ -86,3 +86,53 @@ def packed_parts(vectors: DataFrame, order: str = "pos", scale: str = "scale", q
         return pd.DataFrame({"part": [key[0]], "content": [pack(rows.s.to_numpy(), np.stack(rows.q.to_list()))]})
 
     return ranged.groupBy("part").applyInPandas(run, "part long, content binary")
+
+
+def npy_parts(vectors: DataFrame, order: str = "pos", vector: str = "vector", id_: str | None = None, rows_a_part: int = 100_000) -> DataFrame:
+    """K2: (part, content, ids): NPY files of the rows in order, each of a bounded number, and a JSON list of the rows' ids (null without ``id_``)."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    ranged = vectors.select(F.floor(F.col(order) / rows_a_part).alias("part"), F.col(order).alias("o"), F.col(vector).alias("v"), (F.col(id_) if id_ else F.lit(None)).cast("string").alias("i"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("o")
+        ids = json.dumps(rows.i.to_list(), ensure_ascii=False) if id_ else None
+        return pd.DataFrame({"part": [key[0]], "content": [write_npy(np.stack(rows.v.to_list()))], "ids": [ids]})
+
+    return ranged.groupBy("part").applyInPandas(run, "part long, content binary, ids string")
+
+
+def write_files(parts: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """(path, size): each row's bytes as a file of a folder that all executors share; a task that is repeated writes the same files again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(root)
+        for batch in batches:
+            paths = [f"{root}/{n}" for n in batch[name]]
+            for path, data in zip(paths, batch[content]):
+                with system.open_output_stream(path) as out:
+                    out.write(bytes(data))
+            yield pd.DataFrame({"path": paths, "size": [len(c) for c in batch[content]]})
+
+    return parts.select(name, content).mapInPandas(run, "path string, size long")
+
+
+def put(entries: DataFrame, store: str, key: str = "key", value: str = "value") -> None:
+    """K3: put (key, value) rows into a store: a table of versions, so that a put is one append."""
+    from pyspark.sql import functions as F
+
+    rows = entries.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"), F.current_timestamp().alias("put_at"))
+    rows.write.mode("append").parquet(store)
+
+
+def get(spark: SparkSession, store: str) -> DataFrame:
+    """K3: (key, value): what was put last for each key; of one put's values for a key the largest."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.schema("key string, value string, put_at timestamp").parquet(store)
+    return rows.groupBy("key").agg(F.max(F.struct("put_at", "value"))["value"].alias("value"))

@@ -30,9 +30,13 @@ def write_json(df: DataFrame, path: str) -> None:
 def read_suras(spark: SparkSession, path: str) -> DataFrame:
     """Landed answers ``{"result": [...]}``, one per sura, as verses in order."""
     item = "struct<sura: string, aya: string, arabic_text: string, translation: string>"
-    rows = spark.read.schema(f"result array<{item}>").json(path, multiLine=True).select(F.explode("result").alias("r"))
-    typed = rows.select(F.expr("try_cast(r.sura AS int)").alias("sura"), F.expr("try_cast(r.aya AS int)").alias("aya"), F.col("r.arabic_text").alias("text"), F.col("r.translation").alias("translation"))
-    return with_positions(typed, "sura", "aya")
+    return with_positions(verses_of(spark.read.schema(f"result array<{item}>").json(path, multiLine=True)), "sura", "aya")
+
+
+def verses_of(answers: DataFrame) -> DataFrame:
+    """(sura, aya, text, translation) of answers with an array ``result``; numbers that are none become null."""
+    r = answers.select(F.explode("result").alias("r"))
+    return r.select(F.expr("try_cast(r.sura AS int)").alias("sura"), F.expr("try_cast(r.aya AS int)").alias("aya"), F.col("r.arabic_text").alias("text"), F.col("r.translation").alias("translation"))
 
 
 def with_positions(rows: DataFrame, *order: str) -> DataFrame:

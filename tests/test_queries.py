@@ -1,7 +1,7 @@
 import pytest
 from oracle import DATA, check
 
-from matnflow.plans import catalogue
+from matnflow.plans import catalogue, roundtrips  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.sql()))
