@@ -240,7 +240,19 @@ def frag_strip_framing_service(spark, d):
     return table(spark, d, "enc_hadith").select("rec_id", fr.strip_framing_service("text").alias("core"))
 
 
-@query()
+_WORDS = "list_filter(regexp_split_to_array(replace(text, 'ﷺ', ' '), '" + _SPACE + "'), lambda w: w <> '')"
+_KEPT = (
+    f"SELECT rec_id, text, {_WORDS} AS w, list_transform({_WORDS}, lambda w: {s_fold('w')}) AS f, list_filter(string_split(trim({_STRIPPED}), ' '), lambda w: w <> '') AS c FROM enc_hadith"
+)
+_AFTER = "list_filter(f[i + 1:], lambda x: x <> '')[1]"
+_BEGINS = f"coalesce(list_filter(range(1, len(f) + 1), lambda i: f[i] = c[1] AND (len(c) < 2 OR {_AFTER} = c[2]))[1], 1)"
+_ENDS_AT = "coalesce(list_filter(range(b, len(f) + 1), lambda i: f[i] = c[-1])[-1], len(f))"
+
+
+@query(
+    f"SELECT rec_id, CASE WHEN text IS NULL THEN NULL WHEN len(c) = 0 THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(array_to_string(w[b:{_ENDS_AT}], ' '), '^[«\"“﴿(\\[]+', ''), "
+    f"'[»\"”﴾)\\].،:]+$', ''), '^\\s+|\\s+$', '', 'g') END AS core FROM (SELECT *, {_BEGINS} AS b FROM ({_KEPT}))"
+)
 def frag_original_core(spark, d):
     return table(spark, d, "enc_hadith").select("rec_id", fr.strip_framing_original("text").alias("core"))
 
@@ -416,6 +428,32 @@ def kern_sequence_ratio(spark, d):
     return _read_pairs(spark, d).select("row_id", F.round(kn.sequence_ratio_udf("a", "b"), 9).alias("ratio"))
 
 
+def s_cells() -> str:
+    """CTEs over ``pairs`` (id, p, t): ``nearest`` (id, d), the distance of the substring of t nearest to p.
+
+    The table of distances, a row for each letter of p, advanced a letter of t at a time.
+    """
+    return (
+        "cells AS (SELECT id, 0 AS j, i, i AS d FROM (SELECT id, unnest(range(1, length(p) + 1)) AS i FROM pairs) UNION ALL "
+        "SELECT id, j + 1, i, least(i, i + min(tmp - i) OVER (PARTITION BY id ORDER BY i)) FROM (SELECT id, j, i, "
+        "least(d + 1, coalesce(lag(d) OVER (PARTITION BY id ORDER BY i), 0) + (p[i] <> t[j + 1])::INT) AS tmp FROM cells JOIN pairs USING (id) WHERE j < length(t))), "
+        "nearest AS (SELECT id, min(d) AS d FROM cells JOIN pairs USING (id) WHERE i = length(p) GROUP BY id)"
+    )
+
+
+_FOUND_REPORTS = (
+    f"WITH RECURSIVE a AS MATERIALIZED (SELECT row_id, coalesce(translate(trim({_STRIPPED}), 'ا ', ''), '') AS s FROM evaluate), "
+    "q AS (SELECT s, substr(s, i, 4) AS gram, min(i) AS place FROM (SELECT s, unnest(range(1, length(s) - 2)) AS i FROM (SELECT DISTINCT s FROM a WHERE length(s) >= 12)) GROUP BY ALL), "
+    f"h AS MATERIALIZED (SELECT pos, coalesce({s_skeleton('text')}, '') AS t FROM enc_hadith), "
+    f"g AS ({_GRAMS.format(key='pos', source='SELECT pos, t AS s FROM h')}), "
+    "n AS (SELECT s, pos, count(*) AS n, min(place) AS first FROM q JOIN g USING (gram) GROUP BY ALL HAVING count(*) >= 3), "
+    "r AS (SELECT s, pos, row_number() OVER (PARTITION BY s ORDER BY n DESC, first, pos) AS rank FROM n QUALIFY rank <= 10), "
+    f"pairs AS MATERIALIZED (SELECT row_number() OVER () AS id, s AS p, t, pos, rank FROM r JOIN h USING (pos)), {s_cells()}, "
+    "o AS (SELECT p, pos, 1 - d / length(p) AS similarity FROM nearest JOIN pairs USING (id) QUALIFY row_number() OVER (PARTITION BY p ORDER BY d, rank) = 1) "
+    "SELECT row_id AS query, pos, round(greatest(similarity, 0.0), 9) AS similarity FROM a JOIN o ON a.s = o.p"
+)
+
+
 def _once(spark, d, form, search):
     """``search`` of the distinct forms of evaluate's texts, told for every row."""
     rows = table(spark, d, "evaluate").select(F.col("row_id").alias("row"), F.coalesce(form("text"), F.lit("")).alias("skeleton"))
@@ -436,7 +474,7 @@ def find_verses_service(spark, d):
     return hits.select("query", F.round("similarity", 9).alias("similarity"), "first", "last")
 
 
-@query()
+@query(_FOUND_REPORTS)
 def find_reports(spark, d):
     hits = _once(spark, d, lambda t: nm.skeleton(fr.strip_framing(t)), lambda asked: mt.search_reports(asked, _reports(spark, d)))
     return hits.select("query", "pos", F.round("similarity", 9).alias("similarity"))
@@ -522,7 +560,24 @@ def _lookup(spark, d):
     return rl.local_rulings(reports, _records(spark, d))
 
 
-@query()
+_CHECKED = (
+    f"WITH RECURSIVE q AS MATERIALIZED (SELECT rec_id AS query, {s_skeleton('text')} AS s FROM enc_hadith WHERE {s_skeleton('text')} <> ''), "
+    f"r AS MATERIALIZED (SELECT rec_id AS ord, {s_skeleton('text')} AS s, scholar, ruling, book FROM dorar_hadith WHERE {s_skeleton('text')} <> ''), "
+    f"gq AS ({_GRAMS.format(key='s', source='SELECT DISTINCT s FROM q')}), gr AS ({_GRAMS.format(key='s', source='SELECT DISTINCT s FROM r')}), "
+    "nq AS (SELECT s, count(*) AS c FROM gq GROUP BY s), nr AS (SELECT s, count(*) AS c FROM gr GROUP BY s), "
+    "m AS (SELECT gq.s AS sq, gr.s AS sr, count(*) AS n FROM gq JOIN gr USING (gram) GROUP BY ALL HAVING count(*) >= 3), "
+    "pairs AS MATERIALIZED (SELECT row_number() OVER () AS id, sq, sr, CASE WHEN length(sq) <= length(sr) THEN sq ELSE sr END AS p, CASE WHEN length(sq) <= length(sr) THEN sr ELSE sq END AS t "
+    f"FROM m JOIN nq ON nq.s = sq JOIN nr ON nr.s = sr WHERE n >= 0.15 * least(nq.c, nr.c)), {s_cells()}, "
+    "w AS (SELECT query, ord, scholar, ruling, book, 1 - d / length(p) AS similarity FROM nearest JOIN pairs USING (id) JOIN q ON q.s = sq JOIN r ON r.s = sr WHERE 1 - d / length(p) >= 0.65), "
+    "best AS (SELECT query, max(similarity) AS similarity FROM w GROUP BY query), "
+    f"l AS (SELECT DISTINCT query, scholar, ruling, book, {s_class('f')} AS c FROM (SELECT *, {s_fold('ruling')} AS f FROM w WHERE coalesce(ruling, '') <> '')), "
+    "k AS (SELECT query, count(*) AS n, sum((c <> 'unclassified')::INT) AS known, sum((c = 'authentic')::INT) AS good, sum((c IN ('weak', 'fabricated'))::INT) AS bad FROM l GROUP BY query) "
+    "SELECT query, CASE WHEN known = 0 THEN 'rulings_verbatim' WHEN bad = 0 THEN CASE WHEN similarity < 0.99 THEN 'different_wording' ELSE 'hadith_authentic' END "
+    "WHEN good = 0 THEN 'weak_or_fabricated' ELSE 'scholars_differed' END AS kind, round(similarity, 9) AS similarity, n::INTEGER AS rulings FROM k JOIN best USING (query)"
+)
+
+
+@query(_CHECKED)
 def rul_check(spark, d):
     return rl.check_rulings(_lookup(spark, d)).select("query", "kind", F.round("similarity", 9).alias("similarity"), F.size("rulings").alias("rulings"))
 
