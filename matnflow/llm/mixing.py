@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .encode import count_tokens
 
-MOST_SOURCES = 10_000  # bound of the target list, which is held on the driver
 BITS = 12  # of the hash, per level of the search for a source's last record
 
 
@@ -27,6 +26,7 @@ class Share:
     cap: int
     tokens: float = 0.0  # what it is given
     clamped: bool = False
+    asked: float = 0.0  # the weight as listed
 
     @property
     def rate(self) -> float:
@@ -73,9 +73,7 @@ class Mixture:
             targets.where("source IS NOT NULL").groupBy("source")
             .agg(F.sum(weight).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap"))
         )
-        rows = listed.limit(MOST_SOURCES + 1).collect()
-        if len(rows) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources in the target list")
+        rows = listed.collect()  # a row a source
         names = self.spark.createDataFrame([(r.source,) for r in rows], "source string")
         slim = documents.select(
             F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")
@@ -83,57 +81,44 @@ class Mixture:
         counted = count_tokens(slim.join(F.broadcast(names), "source", "left_semi"), "text", "n_tokens", vocabulary)
         key = F.xxhash64("doc_id", F.lit(seed))
         self.records = cut(counted.select("doc_id", "source", "n_tokens", key.alias("key")))
-        self.levels = {r.source: {} for r in rows}
-        sizes: dict[str, int] = {}
-        first = self._histogram(self.records, 0)
-        for (name, _), n in first.items():
-            sizes[name] = sizes.get(name, 0) + n
+        sizes = {r.source: r.n for r in self.records.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
         there = sum(r.weight for r in rows if sizes.get(r.source))
         self.shares = [
-            Share(r.source, r.weight / there if there and sizes.get(r.source) else 0.0, sizes.get(r.source, 0), int(r.cap))
+            Share(r.source, r.weight / there if there and sizes.get(r.source) else 0.0, sizes.get(r.source, 0), int(r.cap), asked=float(r.weight))
             for r in sorted(rows, key=lambda r: r.source)
         ]
         water_fill(self.shares, sum(sizes.values()) if total is None else total)
-        self._thresholds(first)
+        self.plan = cut(self._thresholds())
 
     def _bucket(self, level: int):
         return F.shiftrightunsigned("key", 64 - BITS * (level + 1)).bitwiseAND(2**BITS - 1)
 
-    def _histogram(self, df: DataFrame, level: int) -> dict[tuple[str, int], int]:
-        """Tokens by source and hash bucket: at most ``2**BITS`` rows a source reach the driver."""
-        rows = df.groupBy("source", self._bucket(level).alias("bucket")).agg(F.sum("n_tokens").alias("n")).collect()
-        return {(r.source, r.bucket): r.n for r in rows}
-
-    def _thresholds(self, first: dict) -> None:
-        """Find, per source, how far in hash order its records are used once more."""
-        need = {s.source: s.tokens - int(s.rate + 1e-12) * s.size for s in self.shares}
-
-        def descend(hist: dict, left: dict) -> tuple[dict, dict]:
-            edge = {}
-            for s in self.shares:
-                edge[s.source] = 0
-                for b in range(2**BITS):
-                    n = hist.get((s.source, b), 0)
-                    edge[s.source] = b
-                    if n > left[s.source] + 1e-6:
-                        break
-                    left[s.source] -= n
-            return edge, left
-
-        one, need = descend(first, need)
-        rows = [(s.source, one[s.source], int(s.rate + 1e-12)) for s in self.shares]
-        rows = rows or [(None, 0, 0)]
-        plan = self.spark.createDataFrame(rows, "source string, b1 long, whole long")
-        in_edge = self.records.join(F.broadcast(plan), "source").where(self._bucket(0) == F.col("b1"))
-        two, need = descend(self._histogram(in_edge, 1), need)
-        rows = [(s.source, one[s.source], two[s.source], need[s.source], int(s.rate + 1e-12), s.cap) for s in self.shares]
-        schema = "source string, b1 long, b2 long, rest double, whole long, cap long"
-        self.plan = self.spark.createDataFrame(rows, schema)
+    def _edges(self, records: DataFrame, level: int, need: DataFrame) -> DataFrame:
+        """(source, b, rest): the hash bucket in which a source's ``need`` is used up, and what is left of it there.
+
+        At most ``2**BITS`` sums a source are put in order, each source's by themselves.
+        """
+        sums = records.groupBy("source", self._bucket(level).alias("b")).agg(F.sum("n_tokens").alias("n")).join(need, "source")
+        run = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("b")))
+        rest = F.col("need") - (F.col("upto") - F.col("n"))
+        first = run.where(F.col("upto") > F.col("need") + 1e-6).groupBy("source").agg(F.min_by(F.struct("b", rest.alias("rest")), "b").alias("x"))
+        told = need.join(first, "source", "left")
+        return told.select("source", F.coalesce("x.b", F.lit(2**BITS - 1)).cast("long").alias("b"), F.coalesce("x.rest", F.lit(0.0)).alias("rest"))
+
+    def _thresholds(self) -> DataFrame:
+        """(source, b1, b2, rest, whole, cap): how far in hash order a source's records are used once more."""
+        rows = [(s.source, s.tokens - int(s.rate + 1e-12) * s.size, int(s.rate + 1e-12), s.cap) for s in self.shares]
+        wanted = self.spark.createDataFrame(rows, "source string, need double, whole long, cap long")
+        one = cut(self._edges(self.records, 0, wanted.select("source", "need")))
+        inside = self.records.join(one, "source").where(self._bucket(0) == F.col("b")).drop("b", "rest")
+        two = self._edges(inside, 1, one.select("source", F.col("rest").alias("need")))
+        edges = one.select("source", F.col("b").alias("b1")).join(two.select("source", F.col("b").alias("b2"), "rest"), "source")
+        return wanted.drop("need").join(edges, "source")
 
     def records_used(self) -> DataFrame:
         """(doc_id, source, n_tokens, repeats): every record of a listed source and how often it is used, 0 included."""
         b1, b2 = self._bucket(0), self._bucket(1)
-        placed = self.records.join(F.broadcast(self.plan), "source").withColumn(
+        placed = self.records.join(self.plan, "source").withColumn(
             "place",
             F.when((b1 < F.col("b1")) | ((b1 == F.col("b1")) & (b2 < F.col("b2"))), -1)
             .when((b1 == F.col("b1")) & (b2 == F.col("b2")), 0).otherwise(1),
@@ -147,9 +132,12 @@ class Mixture:
         return used.unionByName(last).select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats"))
 
     def report(self) -> DataFrame:
-        """(source, weight, size, max_repeats, clamped, tokens, share): targets and the actual shares, one row a source."""
-        rows = [(s.source, s.weight, s.size, s.cap, s.clamped) for s in self.shares]
-        want = self.spark.createDataFrame(rows, "source string, weight double, size long, max_repeats int, clamped boolean")
+        """(source, asked, weight, size, max_repeats, clamped, tokens, share): targets and the actual shares, one row a source.
+
+        ``asked`` is the weight as listed, ``weight`` its part among the sources that are there.
+        """
+        rows = [(s.source, s.asked, s.weight, s.size, s.cap, s.clamped) for s in self.shares]
+        want = self.spark.createDataFrame(rows, "source string, asked double, weight double, size long, max_repeats int, clamped boolean")
         got = self.records_used().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
         out = want.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
         whole = out.agg(F.sum("tokens").alias("whole"))

@@ -157,9 +157,9 @@ def block_of(s1: np.ndarray, s2: np.ndarray, block: int) -> np.ndarray:
 def sketch(records: DataFrame, similarity: float) -> DataFrame:
     """(rec, c1, c2, n, band, s1, s2, u1, u2, words) of each record (rec, x) with any word.
 
-    c1, c2: 128-bit hash of the set. words: 32-bit hashes of its words.
+    c1, c2: 128-bit hash of the set. words: 64-bit hashes of its words.
     """
-    schema = "rec long, c1 long, c2 long, n int, band int, s1 long, s2 long, u1 long, u2 long, words array<int>"
+    schema = "rec long, c1 long, c2 long, n int, band int, s1 long, s2 long, u1 long, u2 long, words array<long>"
     query = f"SELECT f FROM ({form_query('batch', 'x')})"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def sketch(records: DataFrame, similarity: float) -> DataFrame:
                     if h is None:
                         if len(short) > 1_000_000:
                             short.clear()
-                        short[w] = h = xxhash.xxh32_intdigest(w.encode()) - (1 << 31)
+                        short[w] = h = xxhash.xxh64_intdigest(w.encode()) - (1 << 63)
                     hashes.append(h)
                 whole = xxhash.xxh128_intdigest(" ".join(sorted(words)).encode())
                 band, own, up = prints.of(words)
@@ -193,7 +193,7 @@ def sketch(records: DataFrame, similarity: float) -> DataFrame:
                 words_out.append(hashes)
             kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 4
             cols = [pa.array(col, k) for col, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-            cols.append(pa.array(words_out, pa.list_(pa.int32())))
+            cols.append(pa.array(words_out, pa.list_(pa.int64())))
             names = ["rec", "c1", "c2", "n", "band", "s1", "s2", "u1", "u2", "words"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
