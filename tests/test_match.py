@@ -138,3 +138,66 @@ def test_running_offset(spark):
     got = {r.pos: r.offset for r in cd.running_offset(df).collect()}
     assert all(got[i] == sum(j % 4 for j in range(i)) for i in range(51))
     assert cd.running_offset(df.where(F.lit(False))).count() == 0
+
+
+NEAR_MISS = "تسلق الراعي تلا عاليا يبحث طويلا عن خرافه"  # between the semantic floor and the close threshold for verse 2:1
+
+
+def meaning_of(spark, cosine):
+    """Toy vectors: the near miss lies at ``cosine`` from the verse at position 3, other texts far from all."""
+    from pyspark.sql import types as T
+
+    @F.udf(T.ArrayType(T.DoubleType()))
+    def embed(text):
+        return [cosine, (1 - cosine**2) ** 0.5] if "تسلق" in text else [0.0, -1.0]
+
+    vectors = spark.createDataFrame([(3, [1.0, 0.0]), (6, [-1.0, 0.0])], "pos int, vector array<double>")
+    return mt.Meaning(embed, verses=vectors, reports=spark.createDataFrame([(0, [1.0, 0.0])], "pos int, vector array<double>"))
+
+
+def test_meaning_lifts_near_misses_only(spark):
+    alone = search(spark, NEAR_MISS)
+    assert 0.55 <= alone[0].similarity < 0.75 and alone[0].first == 3
+    posts = spark.createDataFrame([(1, f"قال تعالى ﴿{NEAR_MISS}﴾"), (2, "قال تعالى ﴿كلام اخر لا علاقة له بشيء مما سبق ذكره﴾")], "post_id int, text string")
+    reports = spark.createDataFrame(REPORTS, "pos int, id string, text string")
+    for cosine, kind in ((0.93, "different_wording"), (0.80, "not_found"), (None, "not_found")):
+        meaning = None if cosine is None else meaning_of(spark, cosine)
+        rows = {r.post_id: [v.kind for v in r.verdicts] for r in check_posts(posts, verses(spark), reports, meaning=meaning).collect()}
+        assert rows == {1: [kind], 2: ["not_found"]}
+    service = verify_texts(spark.createDataFrame([(1, NEAR_MISS)], "query int, text string"), verses(spark), reports, meaning=meaning_of(spark, 0.93)).first()
+    assert service.kind in ("different_wording", "not_found") and service.status == "ok"
+
+
+def test_posts_framed_by_brackets_and_by_hand(spark):
+    reports = spark.createDataFrame(REPORTS, "pos int, id string, text string")
+    posts = spark.createDataFrame([(1, "﴿كلام اخر لا علاقة له بشيء مما سبق ذكره﴾"), (2, "abc"), (3, None)], "post_id int, text string")
+    rows = {r.post_id: (r.religious, [(v.kind, v.origin) for v in r.verdicts]) for r in check_posts(posts, verses(spark), reports).collect()}
+    assert rows == {1: (True, [("not_found", "none")]), 2: (False, []), 3: (False, [])}
+    by_hand = {r.post_id: [(v.kind, v.checked) for v in r.verdicts] for r in check_posts(posts, verses(spark), reports, manual=True).collect()}
+    assert by_hand[2] == [("not_found", "abc")] and by_hand[1][0][0] == "not_found"
+
+
+def test_results_tell_where_to_look(spark):
+    reports = spark.createDataFrame([(0, "77", REPORTS[0][2], "صحيح", "رواه فلان")], "pos int, id string, text string, grade string, attribution string")
+    posts = spark.createDataFrame([(1, f"قال تعالى ﴿{VERSES[4][3]}﴾"), (2, "قال رسول الله: «من زرع شجرة فله ظلها وثمرها دائما»")], "post_id int, text string")
+    rows = {r.post_id: r.verdicts[0] for r in check_posts(posts, verses(spark), reports).collect()}
+    assert (rows[1].label, rows[1].url, rows[1].also_at) == ("سورة البقرة 2", "https://quranenc.com/ar/browse/english_saheeh/2#2", ["3:1"])
+    assert rows[2].url == "https://hadeethenc.com/ar/browse/hadith/77" and (rows[2].rulings[0].ruling, rows[2].rulings[0].book) == ("صحيح", "رواه فلان")
+    failed = spark.createDataFrame([(1, 0, None, None, None, None, None, True)], "query int, ord int, text string, scholar string, ruling string, book string, page_or_number string, failed boolean")
+    texts = spark.createDataFrame([(1, "لا علاقة لهذا الكلام بشيء مما سبق ذكره"), (2, VERSES[3][3])], "query int, text string")
+    out = {r.query: r for r in verify_texts(texts, verses(spark), reports, failed).collect()}
+    assert out[1].status == "error" and out[1].kind is None
+    assert out[2].status == "ok" and out[2].reference == "سورة البقرة · الآية 1" and out[2].note and out[2].correct is None
+
+
+def test_held_and_joined_index_agree(spark):
+    import random
+
+    draw = random.Random(8)
+    text = lambda n: "".join(draw.choice("abcde") for _ in range(n))
+    corpus = spark.createDataFrame([(i, text(draw.randrange(60))) for i in range(80)] + [(99, None)], "pos int, skeleton string")
+    asked = spark.createDataFrame([(i, text(draw.randrange(40))) for i in range(60)], "query int, skeleton string")
+    for k, part in ((5, 0.0), (None, 0.0), (None, 0.3)):
+        one, two = (sorted(map(tuple, cd.retrieve(asked, corpus, 2, k, part, held).collect())) for held in (10**6, 0))
+        assert one == two and one
+    assert cd.retrieve(asked, corpus.where(F.lit(False)), 2, 5).count() == 0
