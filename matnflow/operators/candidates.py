@@ -123,11 +123,12 @@ class GramIndex:
     def __init__(self, keys: np.ndarray, texts: list[str]):
         self.keys = keys
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        self.letters = np.unique(codes)
+        self.letters = np.flatnonzero(np.bincount(codes)) if len(codes) else np.zeros(0, np.int64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         gram, at = self._grams(np.searchsorted(self.letters, codes) + 1, sizes)
         self.grams, number = np.unique(gram, return_inverse=True)
-        pairs = np.unique(number.astype(np.int64) * max(len(texts), 1) + at)
+        pairs = np.sort(number.astype(np.int64) * max(len(texts), 1) + at)
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
         self.begin = np.searchsorted(pairs, np.arange(len(self.grams) + 1) * max(len(texts), 1))
         self.lists = (pairs % max(len(texts), 1)).astype(np.int32)
         self.sizes = np.bincount(self.lists, minlength=len(keys))

@@ -280,11 +280,11 @@ def frag_fragments(spark, d):
 
 
 def _verses(spark, d):
-    return mt.with_skeleton(table(spark, d, "ayat").select("pos", "sura", "aya", "text", "translation"))
+    return mt.with_skeleton(spread(table(spark, d, "ayat").select("pos", "sura", "aya", "text", "translation")))
 
 
 def _reports(spark, d):
-    return mt.with_skeleton(table(spark, d, "enc_hadith").select("pos", "id", "text", "grade", "attribution"))
+    return mt.with_skeleton(spread(table(spark, d, "enc_hadith").select("pos", "id", "text", "grade", "attribution")))
 
 
 def _asked(spark, d):

@@ -12,7 +12,7 @@ from ..operators.match import Meaning, search_reports_by_meaning, search_verses_
 from ..operators.rulings import check_rulings, check_rulings_service, local_rulings
 from ..operators.verdicts import confidence, first_source, fold_posts, found, report_kind, verse_kind
 from ..profiles import EXTENSION, SERVICE, Profile
-from ..session import cut, keep_apart
+from ..session import cut, keep_apart, spread
 
 
 def distinct_texts(rows: DataFrame, text: str = "text", number: str = "query") -> tuple[DataFrame, DataFrame]:
@@ -102,11 +102,13 @@ def check_posts(
     forms = pieces.groupBy("form", "report_like", "verse_like").agg(F.min("fragment").alias("text"))
     forms = cut(forms.withColumn("query", F.monotonically_increasing_id()))
     apart = keep_apart(forms, "query")
-    verses, reports = with_skeleton(verses), with_skeleton(reports)
+    # read by every step of the search: their forms are computed once, on all cores
+    verses, reports = cut(with_skeleton(spread(verses))), cut(with_skeleton(spread(reports)))
     verse = verse_results(apart.select("query", skeleton("form").alias("skeleton"), "text", "verse_like"), verses, profile, meaning, lang).select("query", "verse")
     framed = apart.select("query", skeleton(strip_framing("form")).alias("skeleton"), strip_framing_original("text").alias("text"), "report_like")
+    framed = cut(framed if meaning else framed.drop("text"))
     report = report_results(framed, reports, profile, meaning, lang)
-    scored = forms.drop("text").join(verse, "query", "left").join(report, "query", "left")
+    scored = apart.drop("text").join(verse.hint("merge"), "query", "left").join(report, "query", "left")
     if records is not None:
         scored = cut(scored)  # the fold asks for rulings of these only; the hits are computed once
         open_ = scored.where(F.col("verse").isNull() & F.col("report").isNull() & (F.col("report_like") | F.lit(manual)))
@@ -144,7 +146,7 @@ def verify_texts(
     base = texts.select("query", "text", too_short("text").alias("short"))
     once, rows = distinct_texts(base.where("NOT short").select(F.col("query").alias("row"), "text"))
     once = keep_apart(once, "query")
-    verses, reports = with_skeleton(verses), with_skeleton(reports)
+    verses, reports = cut(with_skeleton(spread(verses))), cut(with_skeleton(spread(reports)))
     verse = verse_results(with_skeleton(once).withColumn("verse_like", F.lit(False)), verses, profile, meaning)
     verse = verse.withColumn("verse", F.col("verse").withField("label", lb.verse_label("sura", "first", "last"))).select("query", "verse")
     core = strip_framing_service("text")
