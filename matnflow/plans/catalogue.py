@@ -538,7 +538,12 @@ def _snippets(spark, d):
     return t.select("rec_id", F.concat(*parts, F.lit("</div>")).alias("html"))
 
 
-@query()
+_FIELD = r"coalesce(trim(regexp_replace({0}, '\s*-\s*$', '')), '')"
+_TOLD = ", ".join(f"{_FIELD.format(s_squeeze(f))} AS {f}" for f in rl.FIELDS)
+_BODY = s_squeeze("replace(replace(replace(text, '<', '&lt;'), '>', '&gt;'), '''', '&#39;')")
+
+
+@query(f"SELECT rec_id, 0 AS no, {_BODY} AS text, {_TOLD} FROM dorar_hadith WHERE text IS NOT NULL AND {_BODY} <> ''")
 def rul_parse_snippets(spark, d):
     payload = F.to_json(F.struct(F.struct(F.col("html").alias("result")).alias("ahadith")))
     answers = _snippets(spark, d).select("rec_id", rl.result_html(payload).alias("html"))
