@@ -773,7 +773,7 @@ def page_cards(spark, d):
     return t.select("rec_id", pg.card_html(F.lit("found"), F.coalesce("grade", F.lit("")), F.col("text"), F.col("attribution")).alias("html"))
 
 
-@query()
+@query(f"SELECT rec_id, 0 AS no, {_ENDS.format('coalesce(text, chr(32))')} AS text, ['a.png'] AS images FROM enc_hadith")
 def page_posts(spark, d):
     t = table(spark, d, "enc_hadith").select("rec_id", F.concat(F.lit('<main><article><div class="body">'), nm.escape_html(F.coalesce("text", F.lit(""))), F.lit('</div><img width="300" src="a.png"></article></main>')).alias("html"))
     return pg.extract_posts(t, "rec_id", "html", ("article", "", ""), ("div", "class", "body"))
