@@ -1,7 +1,8 @@
 """Candidate retrieval: an inverted index of character 4-grams.
 
 A corpus of a measured, bounded size is held by every task as sorted arrays, so queries
-are not shuffled; a larger one is joined on its grams and counted. Both give the same rows.
+are not shuffled; a larger one is cut into shards, each held by the tasks that search it.
+Both give the same rows. Grams are never shuffled.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 4
 HELD_LETTERS = 16_000_000  # letters of a corpus whose index is sent to every task: 12 bytes a letter at most
+SHARD_LETTERS = 6_000_000  # letters of a shard, about: its index is built by each task that searches it
 
 
 def grams(text: Column | str, n: int = GRAM) -> Column:
@@ -146,8 +149,8 @@ class GramIndex:
         inside = text[:n] == text[GRAM - 1 : n + GRAM - 1]
         return gram[inside], text[:n][inside]
 
-    def near(self, text: str, least: int, k: int | None, part: float) -> tuple[np.ndarray, np.ndarray]:
-        """(records, shared grams), the best ``k`` first: by shared grams, the earliest of them, and the key."""
+    def near(self, text: str, least: int, k: int | None, part: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(records, shared grams, place of the first), the best ``k`` first: by shared grams, the earliest of them, and the key."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         place = np.minimum(np.searchsorted(self.letters, codes), max(len(self.letters) - 1, 0))
         known = np.where(self.letters[place] == codes, place + 1, 0) if len(self.letters) else np.zeros(len(codes), np.int64)
@@ -171,12 +174,55 @@ class GramIndex:
         earliest = np.zeros(len(self.keys), dtype=np.int64)
         earliest[met[::-1]] = np.repeat(first, many)[::-1]  # the last write, the first gram, stays
         best = np.lexsort((self.keys[found], earliest[found], -n))[:k]
-        return found[best], n[best]
+        return found[best], n[best], earliest[found[best]]
+
+    def rows(self, query: pa.Array, texts: pa.Array, least: int, k: int | None, part: float) -> pa.RecordBatch:
+        """``near`` of a column of texts as rows (query, key, n, first, rank)."""
+        found = [self.near(t, least, k, part) for t in texts.to_pylist()]
+        many = np.array([len(f[0]) for f in found], dtype=np.int64)
+        at, n, first = (np.concatenate(c).astype(np.int64) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + 1
+        asked = query.take(pa.array(np.repeat(np.arange(len(many)), many)))
+        cols = [asked, pa.array(self.keys[at]), pa.array(n), pa.array(first.astype(np.int32)), pa.array(rank.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["query", "key", "n", "first", "rank"])
+
+
+def in_shards(queries: DataFrame, corpus: DataFrame, shards: int, least: int, k: int | None, part: float) -> DataFrame:
+    """(query, key, n, first, rank) of queries (query, text) in each shard of a corpus (key, text): ``GramIndex.near`` of every shard.
+
+    A task has one shard and a share of the queries; shards are searched by several tasks
+    where there are fewer of them than cores. Only texts are shuffled: the corpus once for
+    each share, the queries once for each shard.
+    """
+    kind = queries.schema["query"].dataType.simpleString()
+    shares = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // shards))
+    shard, share = F.pmod(F.xxhash64("key"), F.lit(shards)), F.pmod(F.xxhash64("query"), F.lit(shares))
+    held = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), shard.alias("shard"), F.lit(None).cast(kind).alias("query"), "key", "text")
+    asked = queries.select(share.alias("share"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query", F.lit(None).cast("long").alias("key"), "text")
+    both = held.unionByName(asked).withColumn("slot", (F.col("shard") * shares + F.col("share")).cast("int"))
+    both = both.select("slot", "query", "key", "text").repartitionById(shards * shares, "slot").sortWithinPartitions(F.col("key").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, index = [], [], None  # the records come first
+        for b in batches:
+            of_corpus = b.column("key").is_valid()
+            records = b.filter(of_corpus)
+            keys += records.column("key").to_pylist()
+            texts += records.column("text").to_pylist()
+            b = b.filter(pc.invert(of_corpus))
+            if b.num_rows:
+                index = index or GramIndex(np.array(keys, dtype=np.int64), texts)
+                texts = []
+                for at in range(0, b.num_rows, 1000):
+                    few = b.slice(at, 1000)
+                    yield index.rows(few.column("query"), few.column("text"), least, k, part)
+
+    return both.mapInArrow(run, f"query {kind}, key long, n long, first int, rank int")
 
 
 def retrieve(
     queries: DataFrame, corpus: DataFrame, least: int, k: int | None, part: float = 0.0, held_letters: int = HELD_LETTERS,
-    query: str = "query", key: str = "pos", text: str = "skeleton",
+    query: str = "query", key: str = "pos", text: str = "skeleton", shard_letters: int = SHARD_LETTERS,
 ) -> DataFrame:
     """(query, key, n, rank): per query the ``k`` records with most shared grams, ``least`` at least.
 
@@ -187,30 +233,18 @@ def retrieve(
     rows = corpus.where(F.length(text) >= GRAM).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     kind, target = queries.schema[query].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
-    if size <= held_letters:
-        told = rows.toArrow()  # held_letters at most
-        spark = queries.sparkSession
-        held = spark.sparkContext.broadcast(GramIndex(told.column("key").to_numpy(), told.column("text").to_pylist()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            for b in batches:
-                found = [index.near(t, least, k, part) for t in b.column("text").to_pylist()]
-                many = np.array([len(f) for f, _ in found], dtype=np.int64)
-                at = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.int64)
-                n = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
-                rank = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + 1
-                asked = b.column("query").take(pa.array(np.repeat(np.arange(len(many)), many)))
-                cols = [asked, pa.array(index.keys[at]), pa.array(n.astype(np.int64)), pa.array(rank.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["query", "key", "n", "rank"])
-
-        asked = queries.where(F.length(text) >= GRAM).select(F.col(query).alias("query"), F.col(text).alias("text"))
-        found = asked.mapInArrow(run, f"query {kind}, key long, n long, rank int")
-        rank = F.col("rank") if k is not None else F.lit(None).cast("int").alias("rank")
-        return found.select(F.col("query").alias(query), F.col("key").cast(target).alias(key), "n", rank)
-    counted = shared_grams(queries, inverted_index(corpus, key, text), query, key, text)
-    if k is not None:
-        return top_candidates(counted, least, k, query, key).select(query, key, "n", "rank")
-    sizes = [df.select(c, F.size(grams(text)).alias(n)) for df, c, n in ((queries, query, "_q"), (corpus, key, "_c"))]
-    likely = counted.where(F.col("n") >= least).join(sizes[0], query).join(sizes[1], key)
-    return likely.where(F.col("n") >= part * F.least("_q", "_c")).select(query, key, "n", F.lit(None).cast("int").alias("rank"))
+    asked = queries.where(F.length(text) >= GRAM).select(F.col(query).alias("query"), F.col(text).alias("text"))
+    told = [F.col("query").alias(query), F.col("key").cast(target).alias(key), "n"]
+    rank = F.col("rank") if k is not None else F.lit(None).cast("int").alias("rank")
+    if size > held_letters:
+        found = in_shards(asked, rows, -(-size // shard_letters), least, k, part)
+        # a record of the best of all shards is among the best of its own
+        return (found if k is None else top_candidates(found, least, k, key="key")).select(*told, rank)
+    records = rows.toArrow()  # held_letters at most
+    held = queries.sparkSession.sparkContext.broadcast(GramIndex(records.column("key").to_numpy(), records.column("text").to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield held.value.rows(b.column("query"), b.column("text"), least, k, part)
+
+    return asked.mapInArrow(run, f"query {kind}, key long, n long, first int, rank int").select(*told, rank)

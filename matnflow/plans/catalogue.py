@@ -324,8 +324,9 @@ def cand_verse_topk(spark, d):
 
 @query(_topk_sql("enc_hadith", 3, 10))
 def cand_report_topk(spark, d):
-    asked = spread(_asked(spark, d)).where("length(skeleton) >= 12")
-    return cd.retrieve(asked, _reports(spark, d), 3, 10)
+    texts, rows = distinct_texts(spread(_asked(spark, d)).where("length(skeleton) >= 12"), "skeleton", "no")
+    found = cd.retrieve(keep_apart(texts, "no"), _reports(spark, d), 3, 10, query="no")
+    return rows.select("query", "no").join(found, "no").drop("no")
 
 
 @query(

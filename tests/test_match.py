@@ -201,3 +201,20 @@ def test_held_and_joined_index_agree(spark):
         one, two = (sorted(map(tuple, cd.retrieve(asked, corpus, 2, k, part, held).collect())) for held in (10**6, 0))
         assert one == two and one
     assert cd.retrieve(asked, corpus.where(F.lit(False)), 2, 5).count() == 0
+
+
+def test_shards_answer_as_one_index_without_shuffling_grams(spark):
+    import random
+
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("abcd") for _ in range(n))
+    corpus = spark.createDataFrame([(i, text(draw.randrange(60))) for i in range(90)] + [(99, None)], "pos int, skeleton string")
+    asked = spark.createDataFrame([(f"q{i}", text(draw.randrange(40))) for i in range(50)], "query string, skeleton string")
+    counted = cd.shared_grams(asked, cd.inverted_index(corpus))
+    whole = sorted(map(tuple, cd.top_candidates(counted, 2, 4).select("query", "pos", "n", "rank").collect()))
+    for letters in (10**6, 700):
+        found = cd.retrieve(asked, corpus, 2, 4, held_letters=0, shard_letters=letters)
+        assert sorted(map(tuple, found.collect())) == whole and found.schema["pos"].dataType.simpleString() == "int"
+        assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+    every = {(r.query, r.pos, r.n) for r in cd.retrieve(asked, corpus, 3, None, held_letters=0, shard_letters=300).collect()}
+    assert every == {(r.query, r.pos, r.n) for r in counted.where("n >= 3").collect()}
