@@ -221,14 +221,15 @@ def in_shards(queries: DataFrame, corpus: DataFrame, shards: int, least: int, k:
 
 
 def retrieve(
-    queries: DataFrame, corpus: DataFrame, least: int, k: int | None, part: float = 0.0, held_letters: int = HELD_LETTERS,
-    query: str = "query", key: str = "pos", text: str = "skeleton", shard_letters: int = SHARD_LETTERS,
+    queries: DataFrame, corpus: DataFrame, least: int, k: int | None, part: float = 0.0, held_letters: int | None = None,
+    query: str = "query", key: str = "pos", text: str = "skeleton", shard_letters: int | None = None,
 ) -> DataFrame:
     """(query, key, n, rank): per query the ``k`` records with most shared grams, ``least`` at least.
 
     Ties go to the record met by the earliest gram of the query, then to the smaller key.
     With ``k`` null all such records come, of those that share ``part`` of the grams of the
-    text that has fewer; rank is then null.
+    text that has fewer; rank is then null. A corpus of more than ``held_letters`` is
+    searched in shards of about ``shard_letters``.
     """
     rows = corpus.where(F.length(text) >= GRAM).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -236,8 +237,8 @@ def retrieve(
     asked = queries.where(F.length(text) >= GRAM).select(F.col(query).alias("query"), F.col(text).alias("text"))
     told = [F.col("query").alias(query), F.col("key").cast(target).alias(key), "n"]
     rank = F.col("rank") if k is not None else F.lit(None).cast("int").alias("rank")
-    if size > held_letters:
-        found = in_shards(asked, rows, -(-size // shard_letters), least, k, part)
+    if size > (HELD_LETTERS if held_letters is None else held_letters):
+        found = in_shards(asked, rows, -(-size // (shard_letters or SHARD_LETTERS)), least, k, part)
         # a record of the best of all shards is among the best of its own
         return (found if k is None else top_candidates(found, least, k, key="key")).select(*told, rank)
     records = rows.toArrow()  # held_letters at most

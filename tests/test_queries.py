@@ -1,6 +1,7 @@
 import pytest
 from oracle import DATA, check
 
+from matnflow.operators import candidates
 from matnflow.plans import catalogue, roundtrips  # noqa: F401
 
 
@@ -14,3 +15,18 @@ def test_query_runs(spark, name):
     df = catalogue.QUERIES[name](spark, DATA)
     assert len(set(df.columns)) == len(df.columns)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["cand_report_topk", "find_reports"])
+def test_large_corpora_equal_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(candidates, "HELD_LETTERS", 0)
+    monkeypatch.setattr(candidates, "SHARD_LETTERS", 3000)
+    check(spark, catalogue.QUERIES[name], catalogue.sql()[name])
+
+
+@pytest.mark.parametrize("name", ["find_reports_service"])
+def test_large_corpora_equal_held_ones(spark, monkeypatch, name):
+    held = sorted(map(tuple, catalogue.QUERIES[name](spark, DATA).collect()))
+    monkeypatch.setattr(candidates, "HELD_LETTERS", 0)
+    monkeypatch.setattr(candidates, "SHARD_LETTERS", 3000)
+    assert sorted(map(tuple, catalogue.QUERIES[name](spark, DATA).collect())) == held and held
