@@ -7,7 +7,7 @@ Both give the same rows. Grams are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 4
+JUDGED = 10_000  # pairs that are judged together
+Judge = Callable[[list[str], list[str]], np.ndarray]  # which pairs of a query's and a record's text go on
 HELD_LETTERS = 16_000_000  # letters of a corpus whose index is sent to every task: 12 bytes a letter at most
 SHARD_LETTERS = 6_000_000  # letters of a shard, about: its index is built by each task that searches it
 
@@ -123,17 +125,22 @@ def running_offset(corpus: DataFrame, pos: str = "pos", text: str = "skeleton",
 class GramIndex:
     """The records in which each gram occurs, as sorted arrays: grams, where their lists begin, and the lists."""
 
-    def __init__(self, keys: np.ndarray, texts: list[str]):
+    def __init__(self, keys: np.ndarray, texts: list[str], keep_texts: bool = False):
         self.keys = keys
+        self.texts = texts if keep_texts else None
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         self.letters = np.flatnonzero(np.bincount(codes)) if len(codes) else np.zeros(0, np.int64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        gram, at = self._grams(np.searchsorted(self.letters, codes) + 1, sizes)
-        self.grams, number = np.unique(gram, return_inverse=True)
-        pairs = np.sort(number.astype(np.int64) * max(len(texts), 1) + at)
-        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
-        self.begin = np.searchsorted(pairs, np.arange(len(self.grams) + 1) * max(len(texts), 1))
-        self.lists = (pairs % max(len(texts), 1)).astype(np.int32)
+        gram, at = self._grams((np.searchsorted(self.letters, codes) + 1).astype(np.int16), sizes)
+        del codes
+        order = np.argsort(gram, kind="stable")  # texts stay in order within a gram
+        gram, at = gram[order], at[order]
+        del order
+        new, other = np.ones(len(gram), bool), np.ones(len(gram), bool)
+        new[1:], other[1:] = gram[1:] != gram[:-1], at[1:] != at[:-1]
+        other |= new
+        self.grams, self.lists = gram[new], at[other]
+        self.begin = np.r_[np.flatnonzero(new[other]), len(self.lists)]
         self.sizes = np.bincount(self.lists, minlength=len(keys))
 
     @staticmethod
@@ -141,11 +148,12 @@ class GramIndex:
         """(grams as numbers, text of each): of texts whose letters, as numbers below 2**15, stand in a row."""
         n = len(letters) - GRAM + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
         gram = np.zeros(n, dtype=np.int64)
         for k in range(GRAM):
-            gram = gram << 15 | letters[k : n + k]
-        text = np.repeat(np.arange(len(sizes)), sizes)
+            gram <<= 15
+            gram |= letters[k : n + k]
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         inside = text[:n] == text[GRAM - 1 : n + GRAM - 1]
         return gram[inside], text[:n][inside]
 
@@ -176,9 +184,15 @@ class GramIndex:
         best = np.lexsort((self.keys[found], earliest[found], -n))[:k]
         return found[best], n[best], earliest[found[best]]
 
-    def rows(self, query: pa.Array, texts: pa.Array, least: int, k: int | None, part: float) -> pa.RecordBatch:
-        """``near`` of a column of texts as rows (query, key, n, first, rank)."""
+    def rows(self, query: pa.Array, texts: pa.Array, least: int, k: int | None, part: float, judge: Judge | None = None) -> pa.RecordBatch:
+        """``near`` of a column of texts as rows (query, key, n, first, rank); of those that ``judge`` leaves, if given."""
         found = [self.near(t, least, k, part) for t in texts.to_pylist()]
+        if judge:
+            asked, many = texts.to_pylist(), np.array([len(f[0]) for f in found], dtype=np.int64)
+            pairs = [(t, self.texts[i]) for t, f in zip(asked, found) for i in f[0]]
+            parts = [judge(*map(list, zip(*pairs[i : i + JUDGED]))) for i in range(0, len(pairs), JUDGED)]
+            kept = np.split(np.concatenate(parts), np.cumsum(many)[:-1]) if parts else [np.zeros(0, bool)] * len(found)
+            found = [tuple(c[ok] for c in f) for f, ok in zip(found, kept)]
         many = np.array([len(f[0]) for f in found], dtype=np.int64)
         at, n, first = (np.concatenate(c).astype(np.int64) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
         rank = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + 1
@@ -187,7 +201,7 @@ class GramIndex:
         return pa.RecordBatch.from_arrays(cols, names=["query", "key", "n", "first", "rank"])
 
 
-def in_shards(queries: DataFrame, corpus: DataFrame, shards: int, least: int, k: int | None, part: float) -> DataFrame:
+def in_shards(queries: DataFrame, corpus: DataFrame, shards: int, least: int, k: int | None, part: float, judge: Judge | None = None) -> DataFrame:
     """(query, key, n, first, rank) of queries (query, text) in each shard of a corpus (key, text): ``GramIndex.near`` of every shard.
 
     A task has one shard and a share of the queries; shards are searched by several tasks
@@ -211,11 +225,11 @@ def in_shards(queries: DataFrame, corpus: DataFrame, shards: int, least: int, k:
             texts += records.column("text").to_pylist()
             b = b.filter(pc.invert(of_corpus))
             if b.num_rows:
-                index = index or GramIndex(np.array(keys, dtype=np.int64), texts)
+                index = index or GramIndex(np.array(keys, dtype=np.int64), texts, judge is not None)
                 texts = []
                 for at in range(0, b.num_rows, 1000):
                     few = b.slice(at, 1000)
-                    yield index.rows(few.column("query"), few.column("text"), least, k, part)
+                    yield index.rows(few.column("query"), few.column("text"), least, k, part, judge)
 
     return both.mapInArrow(run, f"query {kind}, key long, n long, first int, rank int")
 
@@ -223,13 +237,15 @@ def in_shards(queries: DataFrame, corpus: DataFrame, shards: int, least: int, k:
 def retrieve(
     queries: DataFrame, corpus: DataFrame, least: int, k: int | None, part: float = 0.0, held_letters: int | None = None,
     query: str = "query", key: str = "pos", text: str = "skeleton", shard_letters: int | None = None,
+    judge: Judge | None = None,
 ) -> DataFrame:
     """(query, key, n, rank): per query the ``k`` records with most shared grams, ``least`` at least.
 
     Ties go to the record met by the earliest gram of the query, then to the smaller key.
     With ``k`` null all such records come, of those that share ``part`` of the grams of the
     text that has fewer; rank is then null. A corpus of more than ``held_letters`` is
-    searched in shards of about ``shard_letters``.
+    searched in shards of about ``shard_letters``. ``judge`` sees each found pair where it
+    is found, so that those it drops are never sent; it goes with null ``k``.
     """
     rows = corpus.where(F.length(text) >= GRAM).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -238,14 +254,14 @@ def retrieve(
     told = [F.col("query").alias(query), F.col("key").cast(target).alias(key), "n"]
     rank = F.col("rank") if k is not None else F.lit(None).cast("int").alias("rank")
     if size > (HELD_LETTERS if held_letters is None else held_letters):
-        found = in_shards(asked, rows, -(-size // (shard_letters or SHARD_LETTERS)), least, k, part)
+        found = in_shards(asked, rows, -(-size // (shard_letters or SHARD_LETTERS)), least, k, part, judge)
         # a record of the best of all shards is among the best of its own
         return (found if k is None else top_candidates(found, least, k, key="key")).select(*told, rank)
     records = rows.toArrow()  # held_letters at most
-    held = queries.sparkSession.sparkContext.broadcast(GramIndex(records.column("key").to_numpy(), records.column("text").to_pylist()))
+    held = queries.sparkSession.sparkContext.broadcast(GramIndex(records.column("key").to_numpy(), records.column("text").to_pylist(), judge is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield held.value.rows(b.column("query"), b.column("text"), least, k, part)
+            yield held.value.rows(b.column("query"), b.column("text"), least, k, part, judge)
 
     return asked.mapInArrow(run, f"query {kind}, key long, n long, first int, rank int").select(*told, rank)
