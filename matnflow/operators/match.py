@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -130,7 +131,16 @@ def _arrow_rows(kernel, kind: T.StructType, columns: int):
 
 
 BOTH = T.StructType([T.StructField("inside", SPAN), T.StructField("whole", GROWN)])
-align_service_udf = _arrow_rows(align_in_windows_service, SPAN, 2)
+
+
+def _align_service(queries: pa.Array, windows: pa.Array) -> pa.Array:
+    """``align_in_windows_service`` of columns; windows are taken apart by column, which is faster than by row."""
+    rows, sizes = windows.flatten(), windows.value_lengths().to_pylist()
+    pieces = iter([{"pos": p, "skeleton": s} for p, s in zip(rows.field("pos").to_pylist(), rows.field("skeleton").to_pylist())])
+    return pa.array(align_in_windows_service(queries.to_pylist(), [list(islice(pieces, n)) for n in sizes]), _arrow_struct(SPAN))
+
+
+align_service_udf = once(F.arrow_udf(_align_service, SPAN))
 spans_udf = _arrow_rows(spans_at, BOTH, 3)
 grow_udf = _arrow_rows(lambda *columns: [grow_within(*r) for r in zip(*columns)], GROWN, 4)
 
